@@ -39,7 +39,7 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of text that a task holds lattices for at a time; a longer text is a block of its own.
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 22
 _RUNS = re.compile(r" *[^ \n]+| +|\n")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -125,9 +125,9 @@ class Lattices:
     begin: np.ndarray  # node -> its first edge
     start: np.ndarray
     to: np.ndarray
-    piece: np.ndarray  # -1: the character's bytes
+    piece: np.ndarray  # -1: the character's several bytes
     p: np.ndarray  # of the edge, given its node
-    reach: np.ndarray  # node + share of its edges up to and with this one
+    reach: np.ndarray  # share of the node's edges up to and with this one
 
 
 def lattices(runs: list[str], v: Vocabulary) -> Lattices:
@@ -158,7 +158,7 @@ def lattices(runs: list[str], v: Vocabulary) -> Lattices:
             single[pos[done]] = True
     spelt = np.nonzero(inner & ~single)[0]  # no piece of its own: byte pieces
     start, end = np.concatenate([*starts, spelt]), np.concatenate([*ends, spelt + 1])
-    piece = np.concatenate([*ids, np.full(len(spelt), -1)])
+    piece = np.concatenate([*ids, np.where(codes[spelt] < 0x80, v.byte_ids[np.minimum(codes[spelt], 0x7F)], -1)])
     n_bytes = np.where(codes[spelt] < 0x80, 1, np.where(codes[spelt] < 0x800, 2, np.where(codes[spelt] < 0x10000, 3, 4)))
     score = np.concatenate([v.log_p[x] for x in ids] + [v.byte_log_p * n_bytes])
     order = np.argsort(start, kind="stable")
@@ -177,12 +177,17 @@ def lattices(runs: list[str], v: Vocabulary) -> Lattices:
         sums = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(cut, append=len(s)))), cut)
         weight[s[cut]] = top + np.log(sums)
     p = np.exp(score + weight[end] - weight[start])
-    begin = np.searchsorted(start, np.arange(len(codes) + 1))
+    begin = np.concatenate([[0], np.cumsum(np.bincount(start, minlength=len(codes)))])
+    if len(p):  # the likeliest edge of a node first
+        own = begin[:-1][np.diff(begin) > 0]
+        best = np.nonzero(p == np.repeat(np.maximum.reduceat(p, own), np.diff(own, append=len(p))))[0]
+        best = best[np.diff(start[best], prepend=-1) > 0]
+        for c in (end, piece, p):
+            c[own], c[best] = c[best], c[own]
     total = np.cumsum(p)
     before = np.concatenate([[0.0], total])[begin[start]]
-    reach = start + np.minimum(total - before, 1.0)
-    only_last = np.nonzero(np.diff(start, append=-1))[0]
-    reach[only_last] = start[only_last] + 1.0
+    reach = total - before
+    reach[np.nonzero(np.diff(start, append=-1))[0]] = 1.0
     return Lattices(first, last, codes, begin, start, end, piece, p, reach)
 
 
@@ -193,8 +198,11 @@ def _walk(x: Lattices, node: np.ndarray, last: np.ndarray, seed: np.ndarray) ->
     at, end, seed = node[live], last[live], seed[live]
     while len(live):
         u = uniform(mixed(seed + (at - end).astype(np.uint64)))
-        e = np.searchsorted(x.reach, at + u, "right")
-        e = np.minimum(np.maximum(e, x.begin[at]), x.begin[at + 1] - 1)
+        e = x.begin[at]
+        past = np.nonzero(x.reach[e] <= u)[0]
+        while len(past):
+            e[past] += 1
+            past = past[x.reach[e[past]] <= u[past]]
         rows.append(live)
         steps.append(np.full(len(live), len(steps)))
         edges.append(e)
