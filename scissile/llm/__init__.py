@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: In the order of their numbers.
-MODULES = ("warc", "quality_rules", "simhash", "sharding", "exact_dedup", "token_counts")
+MODULES = ("mixing", "warc", "language_id", "quality_rules", "lm_scoring", "simhash", "sharding", "exact_dedup", "segmentation", "token_counts")
 
 
 def load() -> tuple[dict, dict]:
@@ -15,4 +15,8 @@ def load() -> tuple[dict, dict]:
         module = import_module(f"{__name__}.{m}")
         queries |= module.QUERIES
         oracle |= module.ORACLE
+    pipeline = import_module("corpus_pipeline")  # at the top of the repository
+    queries["pipeline"] = pipeline.run
+    if pipeline.ORACLE_SQL:
+        oracle["pipeline"] = pipeline.ORACLE_SQL
     return queries, oracle

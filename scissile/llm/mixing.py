@@ -157,7 +157,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: tuple = WEIGHTS, whole:
     fitted = fit_rates(features, [w * total for w in weights])
     rate = let(classifier.posterior(F.col("text")), fitted.rate)
     n = copies(rate, F.col("doc_id").cast("long"))
-    return docs.withColumn("__copies", n).where("__copies > 0").withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return docs.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
