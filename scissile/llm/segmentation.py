@@ -39,7 +39,7 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of text that a task holds lattices for at a time; a longer text is a block of its own.
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 5 << 19
 _RUNS = re.compile(r" *[^ \n]+| +|\n")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
