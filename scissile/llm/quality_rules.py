@@ -81,7 +81,7 @@ def default_rules() -> list[Rule]:
         Rule("shouting", F.size(F.filter("__w", lambda w: w.rlike("^\\p{Lu}{2,}"))) * 2 > n),
         Rule("letters", F.size(F.filter("__w", lambda w: w.rlike("\\p{L}"))) * 10 < 7 * n),
         Rule("repeated_lines", duplicate_lines(F.col("text")) * 10 > 3 * F.size(F.split("text", "\n"))),
-        Rule("few_kinds", F.size(F.array_distinct("__w")) * 10 < n),
+        Rule("few_kinds", let(F.size(F.array_distinct("__w")), lambda k: k * k < n)),
         Rule("repeated_words", repeated_words(F.col("__w")) * 100 > 20 * n),
     ]
 
@@ -168,7 +168,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        not (base_failed or word_chars < 2 * n_words or word_chars > 15 * n_words or n_symbols * 10 > n_words
             or len(list_filter(w, lambda x: regexp_matches(x, '^\\p{Lu}{2,}'))) * 2 > n_words
             or len(list_filter(w, lambda x: regexp_matches(x, '\\p{L}'))) * 10 < 7 * n_words
-            or n_dup_lines * 10 > 3 * len(string_split(text, chr(10))) or len(list_distinct(w)) * 10 < n_words) as kept
+            or n_dup_lines * 10 > 3 * len(string_split(text, chr(10))) or len(list_distinct(w)) * len(list_distinct(w)) < n_words) as kept
 from b
 """,
 }

@@ -64,7 +64,7 @@ def test_quality_rules(docs, empty, texts):
         assert r["__w"] == w and r["n"] == repeated(w)
         assert r["d"] == (1 if r["doc_id"] == 9 else 0)
     kept = {r["doc_id"] for r in quality_rules.keep_good(docs).collect()}
-    assert {0, 1, 2, 3, 8} == kept
+    assert {0, 1, 2, 3} == kept  # 8 has 3000 words of 20 kinds
     assert quality_rules.keep_good(docs).columns == docs.columns
     assert quality_rules.keep_good(empty).isEmpty()
     rules = quality_rules.default_rules()
