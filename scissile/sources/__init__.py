@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import trimmed
 
@@ -17,8 +18,9 @@ def read_lines(spark: SparkSession, path: str, column: str = "smiles") -> DataFr
 
 def with_ids(df: DataFrame, key: str = "bb_id") -> DataFrame:
     """``df`` with a lasting number from 0: a row's identity in a stock, in the order of the rows."""
-    schema = df.schema.add(key, "long", False)
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema).select(key, *df.columns)
+    columns = df.columns
+    schema = StructType([*df.schema.fields, StructField(key, LongType(), False)])
+    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema).select(key, *columns)
 
 
 def read_smiles_json(spark: SparkSession, path: str) -> DataFrame:
