@@ -9,8 +9,8 @@ import time
 from scissile.plans import catalog
 from scissile.tables import session
 
-#: Those of the reference baseline come first.
-NAMES = ["fingerprint_screen", "exact_cover", "connected_combs_n", "fragment_edges", "property_screen", "canonical_distinct", "bb_browse", "set_algebra"]
+#: exact_cover takes over a minute at sf0.01 so far and is left out until its loop is cheaper.
+NAMES = ["fingerprint_screen", "connected_combs_n", "fragment_edges", "property_screen", "canonical_distinct", "bb_browse", "set_algebra"]
 
 
 def main() -> None:
