@@ -32,6 +32,8 @@ WEIGHTS = (0.90, 0.08, 0.02)
 BUCKETS = 1 << 14
 #: Labelled rows that the classifier is fitted on, at most.
 LABELLED = 20_000
+#: Log prior of a domain without labelled rows.
+UNLABELLED = -1e6
 
 
 def domain_of_labels(labels: DataFrame) -> DataFrame:
@@ -80,12 +82,14 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: int = len(DOMA
     for r in found.collect():  # domains * BUCKETS rows at most
         counts[r["domain"]][r["bucket"]] = float(r["n"])
     rows = {r["domain"]: r["n"] for r in chosen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    prior = [math.log((rows.get(k, 0) + 1) / (sum(rows.values()) + domains)) for k in range(domains)]
+    # A domain that no row is labelled with, where others are, is no candidate: unseen words would all speak for it.
+    prior = [math.log((rows.get(k, 0) + 1) / (sum(rows.values()) + domains)) if k in rows or not rows else UNLABELLED for k in range(domains)]
     # Smoothed towards the shares of all domains, so that a word seen in none of them says nothing.
     everywhere = [sum(c[b] for c in counts) + 0.5 for b in range(BUCKETS)]
     total = sum(everywhere)
     smooth = 2000.0
-    like = [[round(math.log((c[b] + smooth * everywhere[b] / total) / (sum(c) + smooth)) - math.log(everywhere[b] / total), 4) for b in range(BUCKETS)] for c in counts]
+    sums = [sum(c) + smooth for c in counts]
+    like = [[round(math.log((c[b] + smooth * e / total) / n) - math.log(e / total), 4) if e > 0.5 else 0.0 for b, e in enumerate(everywhere)] for c, n in zip(counts, sums, strict=True)]
     return Classifier(prior, like)
 
 
@@ -144,17 +148,21 @@ def rates(docs: DataFrame, labelled: DataFrame, weights: tuple = WEIGHTS) -> Dat
     return features.withColumn("rate", fitted.rate(F.col("posterior")))
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, weights: tuple = WEIGHTS, whole: int = 0) -> DataFrame:
-    """``docs`` with each row as often as its rate says; domain ``whole`` keeps its size, the others come to their weights beside it.
+def mixed(docs: DataFrame, labelled: DataFrame, weights: tuple = WEIGHTS, whole: int = 0, labelled_docs: DataFrame | None = None) -> DataFrame:
+    """``docs`` with each row as often as its rate says; domain ``whole`` keeps its size, the others come down to their weights beside it.
 
-    Rates are columns of the text, so the texts themselves are not shuffled.
+    A domain with less than its weight keeps what it has: to raise it, rows of
+    the whole domain would have to make room. The classifier learns from
+    ``labelled_docs``, or else from ``docs``: where filters came before, the rows
+    they took are the examples of what is not clean. Rates are columns of the
+    text, so the texts themselves are not shuffled.
     """
-    classifier = fit_classifier(docs, labelled, len(weights))
+    classifier = fit_classifier(docs if labelled_docs is None else labelled_docs, labelled, len(weights))
     features = written(features_of(docs, classifier), "posteriors")
     natural = expected_tokens(features, F.lit(1.0), len(weights))
     # A hundredth more, so that rounding does not take a row that belongs there.
     total = 1.01 * natural[whole] / weights[whole]
-    fitted = fit_rates(features, [w * total for w in weights])
+    fitted = fit_rates(features, [w * total if k == whole else min(w * total, m) for k, (w, m) in enumerate(zip(weights, natural, strict=True))])
     rate = let(classifier.posterior(F.col("text")), fitted.rate)
     n = copies(rate, F.col("doc_id").cast("long"))
     return docs.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
