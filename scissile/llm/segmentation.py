@@ -39,7 +39,7 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of text that a task holds lattices for at a time; a longer text is a block of its own.
-BLOCK_CHARS = 5 << 19
+BLOCK_CHARS = 3 << 20
 _RUNS = re.compile(r" *[^ \n]+| +|\n")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -70,6 +70,7 @@ class Vocabulary:
     keys: np.ndarray
     targets: np.ndarray
     piece_at: np.ndarray  # node -> piece id or -1
+    roots: np.ndarray  # class -> node below the root, 0 if none
 
     @property
     def byte_log_p(self) -> float:
@@ -109,10 +110,14 @@ def vocabulary(model_file: str) -> Vocabulary:
     n = len(letters) + 1
     keys = np.array([u * n + c for u, c in trie], np.int64)
     order = np.argsort(keys)
+    roots = np.zeros(n, np.int64)
+    for (u, c), node in trie.items():
+        if u == 0:
+            roots[c] = node
     pieces = [b"" if special[i] else m.id_to_piece(i).replace(SPACE, " ").encode() for i in range(size)]
     for b, i in enumerate(byte_ids):
         pieces[i] = bytes([b])
-    return Vocabulary(pieces, log_p, byte_ids, classes, n, keys[order], np.array(list(trie.values()), np.int64)[order], np.array(at, np.int64))
+    return Vocabulary(pieces, log_p, byte_ids, classes, n, keys[order], np.array(list(trie.values()), np.int64)[order], np.array(at, np.int64), roots)
 
 
 @dataclass
@@ -137,38 +142,43 @@ def lattices(runs: list[str], v: Vocabulary) -> Lattices:
     last = first + lengths
     inner = np.ones(len(codes), bool)
     inner[last] = False
-    kind = np.where(inner, v.classes[codes], -1).astype(np.int64)
+    kind = np.where(inner, v.classes[codes], np.int32(-1))
     where = np.nonzero(inner)[0]
     starts, ends, ids = [], [], []
     pos, node, single = where, np.zeros(len(where), np.int64), np.zeros(len(codes), bool)
     depth = 0
     while len(pos):
         c = kind[np.minimum(pos + depth, len(codes) - 1)]
-        key = node * v.n_classes + c
-        k = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-        ok = (c > 0) & (v.keys[k] == key)
-        pos, node = pos[ok], v.targets[k[ok]]
+        if depth:
+            key = node * v.n_classes + c
+            k = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
+            ok = (c > 0) & (v.keys[k] == key)
+            pos, node = pos[ok], v.targets[k[ok]]
+        else:
+            node = v.roots[np.maximum(c, 0)]
+            pos, node = pos[node > 0], node[node > 0]
         depth += 1
         piece = v.piece_at[node]
         done = piece >= 0
-        starts.append(pos[done])
-        ends.append(pos[done] + depth)
-        ids.append(piece[done])
+        starts.append(pos[done].astype(np.int32))
+        ends.append(starts[-1] + np.int32(depth))
+        ids.append(piece[done].astype(np.int32))
         if depth == 1:
             single[pos[done]] = True
-    spelt = np.nonzero(inner & ~single)[0]  # no piece of its own: byte pieces
-    start, end = np.concatenate([*starts, spelt]), np.concatenate([*ends, spelt + 1])
-    piece = np.concatenate([*ids, np.where(codes[spelt] < 0x80, v.byte_ids[np.minimum(codes[spelt], 0x7F)], -1)])
+    spelt = np.nonzero(inner & ~single)[0].astype(np.int32)  # no piece of its own: byte pieces
+    start, end = np.concatenate([*starts, spelt]), np.concatenate([*ends, spelt + np.int32(1)])
+    piece = np.concatenate([*ids, np.where(codes[spelt] < 0x80, v.byte_ids[np.minimum(codes[spelt], 0x7F)], np.int32(-1))])
     n_bytes = np.where(codes[spelt] < 0x80, 1, np.where(codes[spelt] < 0x800, 2, np.where(codes[spelt] < 0x10000, 3, 4)))
     score = np.concatenate([v.log_p[x] for x in ids] + [v.byte_log_p * n_bytes])
-    order = np.argsort(start, kind="stable")
+    del starts, ends, ids, pos, node, where, kind, inner
+    order = np.argsort(start, kind="stable").astype(np.int32)
     start, end, piece, score = start[order], end[order], piece[order], score[order]
+    del order
     # From the ends of the runs back: the weight of all ways from a node to its run's end.
-    left = np.repeat(last, lengths + 1) - np.arange(len(codes))
+    left = (np.repeat(last, lengths + 1) - np.arange(len(codes))).astype(np.uint16 if len(runs) and lengths.max() < 1 << 16 else np.int32)
     weight = np.zeros(len(codes))
-    by = np.argsort(left[start], kind="stable")  # edges by how far their node is from the end, then by node
-    far = left[start[by]]
-    bounds = np.searchsorted(far, np.arange(1, (far[-1] if len(far) else 0) + 2))
+    by = np.argsort(left[start], kind="stable").astype(np.int32)  # edges by how far their node is from the end, then by node
+    bounds = np.cumsum(np.bincount(left[start], minlength=1))
     for a, b in zip(bounds, bounds[1:], strict=False):
         e = by[a:b]
         value, s = score[e] + weight[end[e]], start[e]
@@ -176,7 +186,11 @@ def lattices(runs: list[str], v: Vocabulary) -> Lattices:
         top = np.maximum.reduceat(value, cut)
         sums = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(cut, append=len(s)))), cut)
         weight[s[cut]] = top + np.log(sums)
-    p = np.exp(score + weight[end] - weight[start])
+    del by, left
+    p = score
+    p += weight[end]
+    p -= weight[start]
+    np.exp(p, out=p)
     begin = np.concatenate([[0], np.cumsum(np.bincount(start, minlength=len(codes)))])
     if len(p):  # the likeliest edge of a node first
         own = begin[:-1][np.diff(begin) > 0]
@@ -184,9 +198,9 @@ def lattices(runs: list[str], v: Vocabulary) -> Lattices:
         best = best[np.diff(start[best], prepend=-1) > 0]
         for c in (end, piece, p):
             c[own], c[best] = c[best], c[own]
-    total = np.cumsum(p)
-    before = np.concatenate([[0.0], total])[begin[start]]
-    reach = total - before
+    reach = np.cumsum(p)
+    own = begin[:-1][np.diff(begin) > 0]
+    reach -= np.repeat(np.concatenate([[0.0], reach])[own], np.diff(own, append=len(p)))
     reach[np.nonzero(np.diff(start, append=-1))[0]] = 1.0
     return Lattices(first, last, codes, begin, start, end, piece, p, reach)
 
