@@ -201,6 +201,13 @@ def test_lm_scoring(spark, docs, empty, texts):
     p = lm_scoring.word_probabilities(model.totals, len(rows_), ctx, word, cnt, kept)
     unseen = lm_scoring.word_probabilities(model.totals, 1, ctx[:0], ctx[:0], cnt[:0], [(cnt[:0], cnt[:0], np.zeros(1))] * len(model.totals))
     assert np.allclose(p.sum(0) + unseen[0], 1)
+    place = {bytes(r["w"]): k for k, r in enumerate(rows_)}
+    n_of = Counter(k for k, _ in every)
+    score = {r["doc_id"]: r["score"] for r in got}
+    for k, ws in every:
+        path = zip(ws, (lm_scoring.word_class(w) for w in [b"", *ws]), strict=False)
+        want_score = sum(math.log10((p[place[w]] if w in place else unseen[0])[c]) for w, c in path)
+        assert k is None or n_of[k] > 1 or abs(score[k] - want_score) < 1e-5 * max(1, len(ws))
     none = lm_scoring.split_rows(empty)
     assert lm_scoring.score(none, lm_scoring.fit(none, 1, 1)).isEmpty()
 
