@@ -173,6 +173,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataFr
 STAGE_SHINGLE, SIMILARITY = 5, 0.8
 #: 256 bits: at a similarity of 0.8 they differ in 39 bits on average (5.7 deviation), unrelated texts in 128 (8).
 WIDE, WIDE_RADIUS, WIDE_TILE, WIDE_CELL = 4, 52, 1 << 14, 16
+#: Shingles of a block of the exact check, and what a document counts beside its own.
+BLOCK, BLOCK_DOC = 1 << 18, 128
 
 
 def wide_fingerprint(hashes: np.ndarray) -> bytes:
@@ -273,17 +275,19 @@ def likely_links(signed: DataFrame, radius: int = WIDE_RADIUS, tile: int = WIDE_
     return work.repartition(max(8, 2 * signed.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, "a long, b long")
 
 
-def similar(links_: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The links (a, b) whose documents share ``least`` of their shingles or more: an exact check of each."""
-    nodes = links_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.join(nodes, "doc_id", "left_semi"), True), "shingles").dropDuplicates(["doc_id"])
+def set_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
+def similar(links_: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The links (a, b) whose documents in ``sets`` (doc_id, x) share ``least`` of their shingles or more: an exact check of each."""
     both = links_.join(sets.select(F.col("doc_id").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("x").alias("xb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             keep = []
             for xa, xb in zip(t.column(2), t.column(3), strict=True):
-                x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (xa, xb))
+                x, y = (set_of(s.as_py()) for s in (xa, xb))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(common >= least * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -291,13 +295,95 @@ def similar(links_: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> Da
     return both.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
+def verified_links(sets: list[np.ndarray], fps: np.ndarray, parts: np.ndarray, n: int, same: bool, radius: int, least: float) -> tuple[list[int], list[int]]:
+    """Positions of exactly checked links that connect, with ``parts``, all that such links within the radius connect: among n documents, or else between the first n and the rest."""
+    lengths = np.array([len(s) for s in sets])
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    column = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    part = np.unique(parts, return_inverse=True)[1]
+    own = np.zeros(len(column), np.uint8)
+    us, vs = [], []
+    for i in range(n):
+        begin = i + 1 if same else n
+        near = np.nonzero(part[begin:] != part[i])[0] + begin
+        near = near[np.minimum(lengths[near], lengths[i]) >= least * np.maximum(lengths[near], lengths[i])]
+        bits = np.bitwise_count(fps[near] ^ fps[i]).sum(1, dtype=np.int64)
+        left = near[np.argsort(bits, kind="stable")][: np.count_nonzero(bits <= radius)]
+        own[column[ends[i] : ends[i + 1]]] = 1
+        most = 8  # the closest ones first: a link of one of a part spares the others
+        while len(left := left[part[left] != part[i]]):
+            now, left, most = left[:most], left[most:], 4 * most
+            flat = np.concatenate([column[ends[q] : ends[q + 1]] for q in now])
+            common = np.add.reduceat(own[flat], np.concatenate([[0], np.cumsum(lengths[now])[:-1]]), dtype=np.int64)
+            found = now[common >= least * (lengths[now] + lengths[i] - common)]
+            joined, first = np.unique(part[found], return_index=True)
+            us += [i] * len(first)
+            vs += found[first].tolist()
+            part[np.isin(part, joined)] = part[i]
+        own[column[ends[i] : ends[i + 1]]] = 0
+    return us, vs
+
+
+def links_left(likely: DataFrame, verified: DataFrame, sets: DataFrame, radius: int = WIDE_RADIUS, least: float = SIMILARITY) -> DataFrame | None:
+    """(a, b): links of similarity ``least`` within the radius that connect what the ``verified`` of the ``likely`` ones leave apart.
+
+    A likely forest connects all that links within the radius connect, so each
+    of its parts that verified links do not hold together is compared in full:
+    all pairs of its documents, in blocks. Parts of two have had their one check.
+    """
+    named = connected_components(likely).join(connected_components(verified).withColumnRenamed("component", "part"), "node", "left")
+    placed = written(named.select(F.col("node").alias("doc_id"), "component", F.coalesce("part", "node").alias("part")), "placed")
+    torn = placed.groupBy("component").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("n > 2 and low < high")
+    torn = written(torn.select("component"), "torn")
+    if torn.isEmpty():
+        return None
+
+    def add_fp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("fp", pa.array([wide_fingerprint(set_of(x.as_py())) for x in b.column(3)], pa.binary()))
+
+    held = placed.join(torn, "component", "left_semi").join(sets, "doc_id").select("doc_id", "component", "part", "x")
+    rows = written(held.mapInArrow(add_fp, "doc_id long, component long, part long, x binary, fp binary"), "torn-rows")
+    weights = written(rows.groupBy("component").agg(F.sum(F.octet_length("x") / 8 + BLOCK_DOC).alias("w")), "weights")
+    bins = int((weights.where(F.col("w") <= BLOCK).agg(F.sum("w")).first()[0] or 0) // BLOCK) + 1
+    big = F.col("w") > BLOCK
+    cut = weights.select("component", big.alias("big"), F.when(big, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bins))).alias("name"), F.when(big, F.ceil(F.col("w") / BLOCK)).otherwise(1).cast("int").alias("subs"))
+    blocks = written(
+        rows.join(written(cut, "cut"), "component")
+        .groupBy(F.struct("big", "name", F.pmod(F.xxhash64("doc_id"), F.col("subs")).cast("int").alias("sub")).alias("t"))
+        .agg(F.collect_list(F.struct("doc_id", "part", "x", "fp")).alias("rows")),  # about BLOCK shingles
+        "blocks",
+    )
+    names = written(blocks.select("t"), "names")
+    pairs = written(names.join(names.select(F.col("t").alias("t2")), F.expr("t.big = t2.big and t.name = t2.name")).where("t2.sub <= t.sub"), "block-pairs")
+    work = pairs.join(blocks.withColumnRenamed("rows", "ra"), "t").join(blocks.select(F.col("t").alias("t2"), F.col("rows").alias("rb")), "t2")
+    work = work.select(*[F.col(f"r{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("doc_id", "part", "x", "fp")], (F.col("t") == F.col("t2")).alias("same"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for k in range(t.num_rows):
+                same = t.column(8)[k].as_py()
+                lists = lambda c: [t.column(c)[k].values, *([] if same else [t.column(c + 4)[k].values])]  # noqa: B023, E731
+                ids, parts = (np.concatenate([np.asarray(x).astype(np.int64, copy=False) for x in lists(c)]) for c in (0, 1))
+                sets_, fps = ([x for v in lists(c) for x in v.to_pylist()] for c in (2, 3))
+                u, v = verified_links([set_of(x) for x in sets_], set_of(b"".join(fps)).reshape(-1, WIDE), parts, len(t.column(0)[k].values), same, radius, least)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[u], pa.int64()), pa.array(ids[v], pa.int64())], ["a", "b"])
+
+    # A few pairs a task: rows are large, and a task's rows come to Python together.
+    return work.repartition(max(8, -(-pairs.count() // 4))).mapInArrow(run, "a long, b long")
+
+
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without near duplicates: of the documents that links of similarity 0.8 or more connect, the smallest doc_id stays.
 
     Rows without a word, and rows without a doc_id, stay.
     """
     found = written(likely_links(written(shingle_sets(docs, False), "wide")).distinct(), "likely")
-    groups = connected_components(written(similar(found, docs), "similar"))
+    nodes = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = written(shingle_sets(docs.join(nodes, "doc_id", "left_semi"), True), "shingles").dropDuplicates(["doc_id"])
+    verified = written(similar(found, sets), "similar")
+    left = links_left(found, verified, sets)
+    groups = connected_components(verified if left is None else verified.unionAll(written(left, "left")))
     gone = written(groups.where("node <> component").select(F.col("node").alias("__gone")), "gone")
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
 

@@ -98,6 +98,20 @@ def test_near_duplicates(docs, empty):
     assert simhash.keep_one_of_each(empty).isEmpty()
 
 
+@pytest.mark.parametrize("block", [1 << 12, simhash.BLOCK])
+def test_near_duplicates_in_a_dense_cluster(spark, monkeypatch, block):
+    """Pairs at 0.82 among documents at 0.72 of one another, against brute force."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    n, words = 100, lambda name, k: [f"{name}{x}" for x in range(k)]
+    texts = [" ".join([*words("shared", 88), *words(f"pair{k // 2}x", 6), *words(f"own{k}x", 10)]) for k in range(2 * n)]
+    sets = [set(simhash.shingle_hashes(t.encode(), simhash.STAGE_SHINGLE).tolist()) for t in texts]
+    near = {(i, j) for i, j in combinations(range(2 * n), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert near == {(2 * k, 2 * k + 1) for k in range(n)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    gone = set(range(2 * n)) - {r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()}
+    assert gone <= {j for _, j in near} and len(gone) >= 0.98 * n
+
+
 def test_warc(spark, tmp_path):
     data = [b"", b"x" * 5000, "日本".encode() * 3000, b"\r\n\r\nWARC/1.1\r\n0\r\n\r\n"]
     for d in data:
