@@ -226,6 +226,42 @@ def test_lm_scoring(spark, docs, empty, texts):
     assert lm_scoring.score(none, lm_scoring.fit(none, 1, 1)).isEmpty()
 
 
+def seated_one_by_one(c, a, sweeps, rng):
+    """Mean number of tables when each customer is unseated and seated again, sweep after sweep."""
+    sizes, seen = [c], []
+    for k in range(sweeps):
+        for _ in range(c):
+            sizes[rng.choice(len(sizes), p=np.array(sizes) / sum(sizes))] -= 1
+            sizes = [x for x in sizes if x]
+            w = np.array([*(x - lm_scoring.DISCOUNT for x in sizes), a])
+            at = rng.choice(len(w), p=w / w.sum())
+            sizes = [x + (i == at) for i, x in enumerate([*sizes, 0])]
+            sizes = sizes if sizes[-1] else sizes[:-1]
+        seen += [len(sizes)] if k >= sweeps // 5 else []
+    return np.mean(seen)
+
+
+def test_lm_tables(spark):
+    rng, tables = np.random.default_rng(3), lm_scoring.Tables()
+    for a in (0.3, 4.0, 60.0):
+        got = tables.draw(np.full(20000, 30), np.full(20000, a), rng)
+        assert abs(got.mean() / seated_one_by_one(30, a, 1500, rng) - 1) < 0.08
+    # Saddle points against exact numbers: distance of the distributions.
+    n, t = 600, np.arange(1, 601)
+    exact = lm_scoring.log_stirling(n)[n, 1:]
+    for a in (0.01, 1.0, 30.0, 700.0, 20000.0):
+        p, q = (np.exp(w - w.max()) for w in (x + t * math.log(a) for x in (exact, tables.log_weight(np.full(n, float(n)), t.astype(float)))))
+        p, q = p / p.sum(), q / q.sum()
+        assert abs(p - q).sum() / 2 < 0.03
+        got = tables.draw(np.full(4000, n), np.full(4000, a), rng)
+        assert abs(got.mean() - p @ t) < 0.05 * (p @ t) + 0.05 and got.min() >= 1 and got.max() <= n
+    # A frequent word's tables are those of its many customers, not of a fixed number of moves.
+    data = spark.createDataFrame([(k, " ".join(["w", f"rare{k}"] * 40)) for k in range(500)], "doc_id long, text string")
+    model = lm_scoring.fit(lm_scoring.split_rows(data))
+    row = model.words.where("w = cast('w' as binary)").first()
+    assert sum(row["cnt"]) == 500 * 40 and sum(row["kept"][: len(row["ctx"])]) > 4 * len(row["ctx"])  # 33 in all where a sweep moved four
+
+
 def test_mixing(spark, docs, empty):
     good, bad = WORDS[:10], ["scum", "idiot", "stupid"]
     rng = np.random.default_rng(4)
