@@ -1,7 +1,8 @@
 """Language identification by fusing evidence (op 3).
 
 A page's text gives likelihoods (hashed byte trigrams, fitted on a bounded
-sample of labelled documents). What the page declares in its markup, and the
+sample of labelled documents; the evidence grows with a text's length, to a power
+fitted on held-out ones). What the page declares in its markup, and the
 suffix of its address, give likelihoods too, estimated over all pages by
 grouped aggregation of the text's posteriors. Priors come from the page's host:
 shares of languages among the host's other pages, smoothed towards those of its
@@ -32,8 +33,10 @@ from .common import let, table, written
 BUCKETS = 1 << 14
 #: Labelled documents that the text model is fitted on, at most.
 LABELLED = 2_000
-#: Bytes of text that count in full; a longer text's evidence grows no further.
-FULL_BYTES = 30.0
+#: Exponents of the text's length among which held-out labelled documents choose; the evidence grows with any of them.
+EXPONENTS = (0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+#: Labelled rows in so many are held out of the counts that the exponents are judged by.
+HELD_OUT = 5
 _HIDDEN = re.compile(rb"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
 _TAG = re.compile(rb"<[^>]*>")
 _LANG = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
@@ -56,34 +59,66 @@ def trigram_counts(text: bytes) -> np.ndarray:
 class TextModel:
     languages: list[str]
     log_p: np.ndarray  # (languages, BUCKETS)
+    #: Trigrams of a text are not independent: n of them count as n to this power.
+    exponent: float = 1.0
 
     def log_likelihood(self, text: bytes) -> np.ndarray:
         c = trigram_counts(text)
         n = c.sum()
-        return self.log_p @ c * (min(n, FULL_BYTES) / n) if n else np.zeros(len(self.languages))
+        return self.log_p @ c * n ** (self.exponent - 1) if n else np.zeros(len(self.languages))
+
+
+def log_shares(counts: np.ndarray) -> np.ndarray:
+    return np.log((counts + 0.5) / (counts + 0.5).sum(1, keepdims=True))
 
 
 def fit_text_model(docs: DataFrame, most: int = LABELLED) -> TextModel:
-    """From rows (doc_id, text, lang), of which about ``most``, chosen by a hash, are used; counts come to the driver, a row a language and bucket."""
+    """From rows (doc_id, text, lang), of which about ``most``, chosen by a hash, are used; counts come to the driver, a row a language, half and bucket.
+
+    The exponent is the one that gives rows held out of the counts the least
+    log loss; then all rows count.
+    """
     labelled = docs.where("lang is not null and text is not null")
     share = min(1.0, most / max(labelled.count(), 1))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", F.col("text").cast("binary").alias("text"))
+    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
+    chosen = written(chosen.select("lang", F.col("text").cast("binary").alias("text"), held.alias("held")), "labelled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[tuple, np.ndarray] = {}
         for b in batches:
-            for lang, text in zip(b.column(0), b.column(1), strict=True):
-                sums.setdefault(lang.as_py(), np.zeros(BUCKETS)).__iadd__(trigram_counts(text.as_py()))
-        for lang, c in sums.items():
+            for lang, text, held in zip(*b.columns, strict=True):
+                sums.setdefault((lang.as_py(), held.as_py()), np.zeros(BUCKETS)).__iadd__(trigram_counts(text.as_py()))
+        for (lang, held), c in sums.items():
             at = np.nonzero(c)[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array([held] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "held", "bucket", "n"])
 
-    rows = chosen.mapInArrow(run, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    rows = chosen.mapInArrow(run, "lang string, held boolean, bucket int, n double").groupBy("lang", "held", "bucket").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r["lang"] for r in rows}) or ["und"]
-    counts = np.full((len(languages), BUCKETS), 0.5)
+    number = {lang: k for k, lang in enumerate(languages)}
+    counts = np.zeros((2, len(languages), BUCKETS))
     for r in rows:
-        counts[languages.index(r["lang"]), r["bucket"]] += r["n"]
-    return TextModel(languages, np.log(counts / counts.sum(1, keepdims=True)))
+        counts[int(r["held"]), number[r["lang"]], r["bucket"]] += r["n"]
+    known, log_p = counts[0].any(1), log_shares(counts[0])
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss = np.zeros(len(EXPONENTS))
+        for b in batches:
+            for lang, text in zip(b.column(0), b.column(1), strict=True):
+                c, k = trigram_counts(text.as_py()), number.get(lang.as_py())
+                n = c.sum()
+                if not n or k is None or not known[k]:
+                    continue
+                scores = (log_p @ c)[known] * n ** (np.array(EXPONENTS)[:, None] - 1)
+                own = (log_p[k] @ c) * n ** (np.array(EXPONENTS) - 1)
+                top = scores.max(1)
+                loss += top + np.log(np.exp(scores - top[:, None]).sum(1)) - own
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(EXPONENTS)).astype(np.int32)), pa.array(loss)], ["k", "loss"])
+
+    found = chosen.where("held").mapInArrow(losses, "k int, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()
+    loss = {r["k"]: r["loss"] for r in found}
+    best = min(range(len(EXPONENTS)), key=lambda k: (loss.get(k, 0.0), -k))
+    return TextModel(languages, log_shares(counts.sum(0)), EXPONENTS[best])
 
 
 def with_address(pages: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scissile.llm import exact_dedup, lm_scoring, mixing, quality_rules, segmentation, sharding, simhash, token_counts, warc
+from scissile.llm import exact_dedup, language_id, lm_scoring, mixing, quality_rules, segmentation, sharding, simhash, token_counts, warc
 
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi omi pi rho sigma tau ups".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, __w string, step int, fp string"
@@ -112,6 +112,27 @@ def test_near_duplicates_in_a_dense_cluster(spark, monkeypatch, block):
     assert gone <= {j for _, j in near} and len(gone) >= 0.98 * n
 
 
+def test_language_id(spark):
+    """A long page in a language of its own on a hot host."""
+    rng = np.random.default_rng(5)
+    # Two languages of the same letters, so that a trigram says little.
+    letters, n = list("abcdef"), 3000
+    weights = {"aa": [6, 5, 4, 4, 5, 5], "bb": [5, 6, 5, 4, 4, 5]}
+    text = lambda lang, k: "".join(rng.choice(letters, k, p=np.array(weights[lang]) / sum(weights[lang])))
+    docs = spark.createDataFrame([(k, text(lang, 400), lang) for k in range(200) for lang in [["aa", "bb"][k % 2]]], "doc_id long, text string, lang string")
+    model = language_id.fit_text_model(docs)
+    assert model.languages == ["aa", "bb"] and model.exponent in language_id.EXPONENTS
+    long, pages = text("bb", 20000), [(k, "http://a.hot.example/x", text("aa", 400)) for k in range(n)]
+    got = language_id.fused(language_id.text_evidence(spark.createDataFrame([*pages, (n, "http://a.hot.example/x", long)], "page_id long, url string, html string"), model), model.languages)
+    row = {r["page_id"]: r for r in got.collect()}[n]
+    logs = model.log_likelihood(long.encode())
+    assert (row["text_lang"], row["lang"]) == ("bb", "bb")
+    # The evidence keeps growing with the text, and outgrows a host of any fixed size.
+    gap = [float(np.diff(model.log_likelihood((long * k).encode()))[0]) for k in (1, 4, 16)]
+    assert gap[0] < gap[1] < gap[2] and gap[2] > 2.5 * gap[0] and np.argmax(logs) == 1
+    assert language_id.fit_text_model(docs.limit(0)).languages == ["und"]
+
+
 def test_warc(spark, tmp_path):
     data = [b"", b"x" * 5000, "日本".encode() * 3000, b"\r\n\r\nWARC/1.1\r\n0\r\n\r\n"]
     for d in data:
