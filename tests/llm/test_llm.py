@@ -213,6 +213,26 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard(docs).count() == docs.count() and sharding.shard(empty).isEmpty()
 
 
+def test_sharding_beside_a_hot_group(spark):
+    """A third of all rows in one group: it stays spread, quotas hold, and the other groups come together."""
+    n = 6000
+    text = F.when(F.col("id") < n // 3, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") / 4).cast("int")))
+    many = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+    rows = sharding.signatures(many).withColumn("home", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
+    moved = {(r["group"], r["home"]): r["shard"] for r in sharding.propagated(rows).collect()}
+    load, groups = Counter(), {}
+    for r in rows.collect():
+        at = moved.get((r["group"], r["home"]), r["home"])
+        load[at] += 1
+        groups.setdefault(r["group"], set()).add(at)
+    assert max(load.values()) <= 1.1 * n / 16 and sum(len(x) == 16 for x in groups.values()) == 1
+    assert sum(len(x) > 1 for x in groups.values()) < 0.05 * len(groups)
+    ends = {}
+    for r in sharding.shard(many).collect():
+        ends.setdefault(r["group"], set()).add(r["shard"])
+    assert sum(len(x) > 1 for x in ends.values()) <= sum(len(x) > 1 for x in groups.values()) + 15
+
+
 def test_lm_scoring(spark, docs, empty, texts):
     data = spark.createDataFrame([(k, prose(k, 60)) for k in range(200)], "doc_id long, text string").unionByName(docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 1000))
     rows = lm_scoring.split_rows(data)
