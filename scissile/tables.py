@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def session(name: str = "scissile", cpus: str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; on a cluster, pass your own."""
@@ -24,18 +27,47 @@ def session(name: str = "scissile", cpus: str = "*", partitions: int = 8) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    at = spark.sparkContext._jsc.sc().getCheckpointDir()
+    """The folder that driver and executors share; a local one only where Spark itself is local."""
+    sc = spark.sparkContext
+    at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="spark-")
+    sc.setCheckpointDir(path)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder: loops cut their lineage with it and survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as Parquet in the shared folder: loops cut their lineage with it and survive lost executors.
+
+    The shuffle files of the write go once it is done, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path, before = shared_path(spark, name), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` has written and that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
