@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,18 +47,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder: loops cut their lineage with it and survive lost executors.
-
-    The shuffle files of the write go once it is done, as nothing reads them again.
-    """
-    spark = df.sparkSession
-    path, before = shared_path(spark, name), spark.conf.get(CLEANUP, None)
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries inside leave no shuffle files behind: for writes, which nothing shuffled is read again after."""
+    before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in the shared folder: loops cut their lineage with it and survive lost executors."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
