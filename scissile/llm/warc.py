@@ -3,8 +3,9 @@
 Writing: each page becomes an HTTP response in chunked transfer framing; blocks
 over ``segment_bytes`` go on in continuation records. Pages whose payload an
 earlier page_id has too become revisits. Spark's text writer puts records down
-byte by byte, the WARC record end being its line separator, in gzip files of
-bounded size, wherever Spark can write.
+byte by byte, the WARC record end being its line separator, in plain files of
+bounded size, wherever Spark can write. (Its gzip would make one member of a
+file, where WARC readers expect one of each record; gzip files are read.)
 
 Reading: files are parsed record by record by their declared length;
 continuations are grouped by origin identifier, ordered by segment number,
@@ -14,7 +15,8 @@ Defined cases: a null html is an empty payload; a null page_id is a page of its
 own; of repeated rows one is the response and the others revisit it; an empty
 table gives no rows; extra columns are ignored; a record whose segments are
 missing or do not add up, or whose framing or digest is wrong, is read back
-with ``problem`` set and a null payload.
+with ``problem`` set and a null payload; a revisit whose response is lost or
+broken stays, with ``problem`` set and a null size.
 """
 
 from __future__ import annotations
@@ -29,10 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import shuffles_removed
 from .common import shared_path, table, written
 
 END = "\r\n\r\n"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
+#: Of a payload that an earlier record has.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "record_id string, type string, origin_id string, segment int, total_length long, refers_to string, page_id long, payload_digest string, block binary"
 
 
@@ -65,45 +70,65 @@ def payload_of(block: bytes) -> bytes:
     return dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-def _record(kind: str, rid: str, page_id: int | None, block: bytes, **fields: object) -> bytes:
-    lines = [f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{rid}>\r\nX-Page-ID: {'' if page_id is None else page_id}"]
+def _record(kind: str, rid: str, page_id: int | None, captured: str, block: bytes, **fields: object) -> bytes:
+    lines = [f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{rid}>\r\nWARC-Date: {captured}\r\nX-Page-ID: {'' if page_id is None else page_id}"]
     lines += [f"{k.replace('_', '-')}: {v}" for k, v in fields.items() if v is not None]
     return "\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block
 
 
-def page_records(page_id: int | None, digest: str, copy: int, first: int | None, html: bytes, response: bool, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
+def page_records(page_id: int | None, digest: str, copy: int, first: int | None, html: bytes, response: bool, url: str | None, captured: str, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
     """The records of one page: a revisit, or a response and its continuations."""
     rid = f"urn:page:{page_id}:{digest}:{copy}"
     b32 = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
+    uri = re.sub("[\x00-\x20\x7f]+", "", url or "") or f"urn:page:{page_id}"
+    http = {"WARC_Target_URI": uri, "Content_Type": "application/http; msgtype=response", "WARC_Payload_Digest": b32}
     if not response:
-        yield _record("revisit", rid, page_id, HEAD, WARC_Refers_To=f"<urn:page:{first}:{digest}:1>", WARC_Payload_Digest=b32)
+        yield _record("revisit", rid, page_id, captured, HEAD, WARC_Refers_To=f"<urn:page:{first}:{digest}:1>", WARC_Profile=PROFILE, **http)
         return
     block = HEAD + chunked(html, chunk_bytes)
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
     several = len(parts) > 1
-    yield _record("response", rid, page_id, parts[0], WARC_Payload_Digest=b32, WARC_Segment_Number=1 if several else None)
+    yield _record("response", rid, page_id, captured, parts[0], **http, WARC_Segment_Number=1 if several else None)
     for k, p in enumerate(parts[1:], 2):
-        yield _record("continuation", f"{rid}:{k}", page_id, p, WARC_Segment_Origin_ID=f"<{rid}>", WARC_Segment_Number=k, WARC_Segment_Total_Length=len(block) if k == len(parts) else None)
+        yield _record("continuation", f"{rid}:{k}", page_id, captured, p, WARC_Target_URI=uri, WARC_Segment_Origin_ID=f"<{rid}>", WARC_Segment_Number=k, WARC_Segment_Total_Length=len(block) if k == len(parts) else None)
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segment_bytes: int = 1 << 14, chunk_bytes: int = 1 << 12, records_per_file: int = 2048) -> None:
-    """WARC files of ``pages`` (page_id, html) under ``path``: at most records_per_file * segment_bytes bytes each, before gzip."""
+def packed(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with a binary column compressed, for a shuffle that carries it through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = b.schema.get_field_index(column)
+            yield b.set_column(k, column, pa.array([zlib.compress(x.as_py(), 1) for x in b.column(k)], pa.binary()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segment_bytes: int = 1 << 14, chunk_bytes: int = 1 << 12, records_per_file: int = 2048, captured: str = "1970-01-01T00:00:00Z") -> None:
+    """WARC files of ``pages`` (page_id, html, and url if there is one) under ``path``: at most records_per_file * segment_bytes bytes each, and headers.
+
+    The pages are shuffled once, compressed: the lookup of shared payloads and the numbers
+    of repeated rows use one partitioning.
+    """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), html.alias("html")).withColumn("digest", F.sha1("html"))
-    keys = written(rows.select("page_id", "digest", F.octet_length("html").alias("n")), "payloads")
+    url = (F.col("url") if "url" in pages.columns else F.lit(None)).cast("string")
+    # A null page_id is the empty string in the key, which no number is.
+    named = pages.select(F.col("page_id").cast("long").alias("page_id"), html.alias("html"), url.alias("url"))
+    rows = named.withColumn("digest", F.sha1("html")).withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    keys = written(rows.select("page_id", "key", "digest", F.octet_length("html").alias("n")), "payloads")
     firsts = keys.where(F.col("n") >= min_revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1")
-    # Only payloads that several pages share are joined, and without the payloads themselves.
-    shared = keys.select("page_id", "digest").distinct().join(written(firsts, "shared-payloads"), "digest").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first")
-    marked = rows.join(shared, rows["page_id"].eqNullSafe(shared["p"]) & (rows["digest"] == shared["d"]), "left")
-    copy = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy(F.lit(0)))
-    response = F.col("d").isNull() | (F.col("page_id").eqNullSafe(F.col("first")) & (F.col("copy") == 1))
-    ready = marked.withColumn("copy", copy).select("page_id", "digest", "copy", "first", "html", response.alias("response"))
+    # Only payloads that several pages share are looked up, and without the payloads themselves.
+    shared = keys.select("key", "digest").distinct().join(firsts.select("digest", "first"), "digest").select("key", "digest", "first", F.lit(True).alias("several"))
+    marked = packed(rows, "html").join(written(shared, "shared-payloads"), ["key", "digest"], "left")
+    copy = F.row_number().over(Window.partitionBy("key", "digest").orderBy(F.lit(0)))
+    response = F.col("several").isNull() | (F.col("page_id").eqNullSafe(F.col("first")) & (F.col("copy") == 1))
+    ready = marked.withColumn("copy", copy).select("page_id", "digest", "copy", "first", "html", response.alias("response"), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns, out, held = [b.column(k) for k in range(6)], [], 0
+            columns, out, held = [b.column(k) for k in range(7)], [], 0
             for k in range(b.num_rows):
-                for r in page_records(*(c[k].as_py() for c in columns), segment_bytes, chunk_bytes):
+                for r in page_records(*(zlib.decompress(c[k].as_py()) if i == 4 else c[k].as_py() for i, c in enumerate(columns)), captured, segment_bytes, chunk_bytes):
                     out.append(r)
                     held += len(r)
                 if held > 1 << 22 or k == b.num_rows - 1:
@@ -111,7 +136,8 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segm
                     out, held = [], 0
 
     records = ready.mapInArrow(run, "record binary").select(F.col("record").cast("string"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    with shuffles_removed(pages.sparkSession):
+        records.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def parse(data: bytes) -> Iterator[dict]:
@@ -161,22 +187,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reassembled(records: DataFrame) -> DataFrame:
-    """(record_id, page_id, type, refers_to, payload_digest, block, problem): records with their continuations put back.
+    """(record_id, page_id, type, refers_to, payload_digest, blocks, problem): records with the blocks of their segments in order.
 
     Records of one segment need no shuffle. Others are grouped by origin
     identifier; a group is the segments of one record.
     """
-    names = ["record_id", "page_id", "type", "refers_to", "payload_digest", "block"]
-    alone = records.where("segment is null and origin_id is null").select(*names, F.lit(None).cast("string").alias("problem"))
+    names = ["record_id", "page_id", "type", "refers_to", "payload_digest"]
+    alone = records.where("segment is null and origin_id is null").select(*names, F.array("block").alias("blocks"), F.lit(None).cast("string").alias("problem"))
     parts = records.where("segment is not null or origin_id is not null")
     only = lambda c: F.max(F.when(F.col("origin_id").isNull(), F.col(c)))
     joined = parts.groupBy(F.coalesce("origin_id", "record_id").alias("record_id")).agg(
-        *[only(c).alias(c) for c in names[1:5]], F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("s"), F.max("total_length").alias("total")
+        *[only(c).alias(c) for c in names[1:]], F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("s"), F.max("total_length").alias("total")
     )
-    block = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
+    length = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"]))
     gapless = F.forall(F.transform("s", lambda x, k: x["segment"] == k + 1), lambda x: x)
-    checked = joined.withColumn("block", block).withColumn("problem", F.when(F.col("type").isNull(), "no first segment").when(~gapless, "segment missing").when(~F.octet_length("block").eqNullSafe(F.col("total")), "total length"))
-    return alone.unionByName(checked.select(*names, "problem"))
+    checked = joined.withColumn("problem", F.when(F.col("type").isNull(), "no first segment").when(~gapless, "segment missing").when(~length.eqNullSafe(F.col("total")), "total length"))
+    return alone.unionByName(checked.select(*names, F.col("s.block").alias("blocks"), "problem"))
 
 
 def payloads(records: DataFrame) -> DataFrame:
@@ -187,11 +213,11 @@ def payloads(records: DataFrame) -> DataFrame:
 
         for b in batches:
             data, digests, problems = [], [], []
-            for kind, block, digest, problem in zip(*(b.column(k).to_pylist() for k in (2, 4, 5, 6)), strict=True):
-                got = None
+            for kind, blocks, digest, problem in zip(*(b.column(k) for k in (2, 4, 5, 6)), strict=True):
+                kind, digest, problem, got = kind.as_py(), digest.as_py(), problem.as_py(), None
                 if problem is None and kind != "revisit":
                     try:
-                        got = payload_of(block)
+                        got = payload_of(b"".join(blocks.as_py()))
                         problem = None if digest in (None, base32_sha1(got)) else "digest"
                     except ValueError:
                         problem = "framing"
@@ -204,25 +230,26 @@ def payloads(records: DataFrame) -> DataFrame:
                 ["record_id", "page_id", "type", "refers_to", "payload", "payload_bytes", "payload_digest", "problem"],
             )
 
-    shaped = reassembled(records).select("record_id", "page_id", "type", "refers_to", "block", "payload_digest", "problem")
+    shaped = reassembled(records).select("record_id", "page_id", "type", "refers_to", "blocks", "payload_digest", "problem")
     return shaped.mapInArrow(run, "record_id string, page_id long, type string, refers_to string, payload binary, payload_bytes long, payload_digest string, problem string")
 
 
 def resolved(read: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to): revisits get the size of the response they refer to."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, problem): revisits get the size of the response they refer to."""
     facts = written(read.drop("payload"), "warc-records")
     base = facts.where("type <> 'revisit'")
-    target = base.select(F.col("record_id").alias("t"), F.col("page_id").alias("refers"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d"))
-    again = facts.where("type = 'revisit'").join(target, F.col("refers_to") == F.col("t"))
-    return base.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(
-        again.select("page_id", F.col("n").alias("payload_bytes"), F.col("d").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers").alias("refers_to"))
+    target = base.where("problem is null").select(F.col("record_id").alias("t"), F.col("page_id").alias("refers"), F.col("payload_bytes").alias("n"))
+    again = facts.where("type = 'revisit'").join(target, F.col("refers_to") == F.col("t"), "left")
+    lost = F.coalesce("problem", F.when(F.col("t").isNull(), "no response"))
+    return base.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "problem").unionByName(
+        again.select("page_id", F.col("n").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), F.col("refers").alias("refers_to"), lost.alias("problem"))
     )
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path, min_revisit_bytes=0)
-    return resolved(payloads(read_archives(spark, path)))
+    return resolved(payloads(read_archives(spark, path))).drop("problem")
 
 
 ORACLE = {
