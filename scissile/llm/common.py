@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import removed, shared_path, table
 from ..tables import stored as written
 
-__all__ = ["connected_components", "let", "removed", "shared_path", "table", "words", "written"]
+__all__ = ["arrow_rows", "connected_components", "let", "removed", "shared_path", "table", "words", "written"]
 
 #: Words are maximal runs of characters other than these six.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Queries inside pass so many rows at a time to Python: fewer where rows are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def words(text: Column) -> Column:
     """Words of a text, in order; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
@@ -34,6 +47,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     nodes of their own; null ends are ignored; no edges give no rows.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    pairs = written(pairs, "pairs")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     stars = written(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
 

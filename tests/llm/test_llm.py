@@ -213,6 +213,15 @@ def test_segmentation(spark, docs, empty, texts):
         by.setdefault(r["doc_id"], []).append(r)
     assert all(len({tuple(r["ids"]) for r in by[k]}) == 3 for k in (1, 2, 8)) and len(by[4]) == len(by[5]) == 1
     assert [r["ids"] for r in by[0][:3]] == [r["ids"] for r in by[0][3:]] or sorted(map(tuple, (r["ids"] for r in by[0][:3]))) == sorted(map(tuple, (r["ids"] for r in by[0][3:])))
+    # Texts of one run, far longer than words: exact, and step by step alike.
+    long = spark.createDataFrame([(1, "ab" * 30_000), (2, "é𐍈" * 500), (3, "x" + "\u2028" * 3)], "doc_id long, text string")
+    assert {(r["doc_id"], r["sample"]): r["exact"] for r in segmentation.encode(long, decoded=True).collect()} == {(k, s): True for k in (1, 2, 3) for s in (0, 1) if k != 3 or s == 0} | {(3, 1): True}
+    v_, runs = segmentation.vocabulary(segmentation.MODEL), [" ban" * 1 + "ana" * 40, " of", " the"]
+    few, segmentation.FEW = segmentation.FEW, 1
+    whole = segmentation.lattices(runs, v_)
+    segmentation.FEW = 10**9
+    assert np.allclose(whole.p, segmentation.lattices(runs, v_).p)
+    segmentation.FEW = few
     assert segmentation.encode(empty).isEmpty()
     v = segmentation.vocabulary(segmentation.MODEL)
     n = 3000
@@ -258,38 +267,88 @@ def test_sharding_beside_a_hot_group(spark):
     assert sum(len(x) > 1 for x in ends.values()) <= sum(len(x) > 1 for x in groups.values()) + 15
 
 
-def test_lm_scoring(spark, docs, empty, texts):
+def hashed(text):
+    """(words, hashes, restaurants of rarer words) of one text."""
+    data = np.frombuffer(text, np.uint8)
+    at, h, last = lm_scoring.words_of(data, np.array([0]))
+    return text.lower().split(), h.tolist(), (1 + lm_scoring.OWN + last % lm_scoring.SHARED).tolist()
+
+
+def test_lm_words(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.choice(list(b"abAB\xc3\xa9 \n\t\x0b"), n)) for n in (0, 1, 5, 400, 3000)] + [b"x" * 1000, b"", b" a"]
+    monkeypatch.setattr(lm_scoring, "_SPAN", 64)
+    begins = np.cumsum([0, *map(len, texts)])[:-1]
+    at, h, _ = lm_scoring.words_of(np.frombuffer(b"".join(texts), np.uint8), begins)
+    words = [w for x in texts for w in x.lower().split()]
+    assert len(h) == len(words) and len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
+    assert np.searchsorted(at, begins[-1]) == len(words) - 1
+    x = rng.integers(0, 1 << 40, 100)
+    assert (lm_scoring.unpacked(lm_scoring.packed(x, "<u8"), "<u8") == x).all() and not len(lm_scoring.unpacked(None, "<u4"))
+
+
+def test_lm_scoring(spark, docs, empty, texts, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", 4000)
     data = spark.createDataFrame([(k, prose(k, 60)) for k in range(200)], "doc_id long, text string").unionByName(docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 1000))
     rows = lm_scoring.split_rows(data)
-    model = lm_scoring.fit(rows.where("not held_out"), 1, 2)
+    model = lm_scoring.fit(rows.where("not held_out"), 1, 2, own_words=12)  # of 20 frequent words, some share
     got = lm_scoring.score(rows, model).collect()
-    every = [(r["doc_id"], (r["text"] or "").encode().lower().split() + [b""]) for r in data.collect()]
-    counts = Counter(w for k, ws in every if crc32(str(k if k is not None else "").encode()) % 10 for w in ws)
+    every = [(r["doc_id"], (r["text"] or "").encode()) for r in data.collect()]
+    known = {k: (x.lower().split() + [b""], [*hashed(x)[1], 0], hashed(x)[2]) for k, x in {x: x for _, x in every}.items()}
+    trained = [x for k, x in every if crc32(str(k if k is not None else "").encode()) % 10]
+    counts = Counter(w for x in trained for w in known[x][0])
     n = sum(counts.values())
-    assert (model.n_tokens, model.n_words, len(got)) == (n, len(counts), len(every))
-    want = {k: (len(ws), sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (len(counts) + 1))) for w in ws)) for k, ws in every}
+    assert (model.n_tokens, model.n_words, len(got)) == (n, len(counts), len(every)) and 0 < len(model.own) <= 12
+    own = {h: 1 + i for i, h in enumerate(model.own.tolist())}
+    path = lambda x: list(zip(known[x][1], [0, *(own.get(h, c) for h, c in zip(known[x][1], known[x][2], strict=False))], strict=True))
+    pairs = Counter(p for x in trained for p in path(x))
+    customers = Counter()
+    for (_, c), m in pairs.items():
+        customers[c] += m
+    # The model's parts, unpacked: counts as they are in the texts, tables within their bounds, and root customers that are the tables.
+    add, root, samples = {}, {}, len(model.totals)
+    for r in model.state.collect():
+        words, of, ctx, cnt = lm_scoring._pairs(r.asDict())
+        kept = lm_scoring.unpacked(r["kept"], "<u4")
+        assert {(w, c): m for w, c, m in zip(words[of].tolist(), ctx.tolist(), cnt.tolist(), strict=True)}.items() <= pairs.items()
+        assert (kept >= samples).all() and (kept <= samples * cnt).all()
+        seats, tables = (lm_scoring._arrays(r[x], len(words), "<u8")[:samples] for x in ("customers", "seated"))
+        assert (np.bincount(of, kept) == sum(seats)).all() and all((t <= c).all() and (t >= 1).all() for t, c in zip(tables, seats, strict=True))
+        for w, c, m, k in zip(words[of].tolist(), ctx.tolist(), cnt.tolist(), kept.tolist(), strict=True):
+            add[w, c] = (m - lm_scoring.DISCOUNT * k / samples) / (lm_scoring.STRENGTH + customers[c])
+        for i, w in enumerate(words.tolist()):
+            root[w] = [(c[i] - lm_scoring.DISCOUNT * t[i]) for c, t in zip(seats, tables, strict=True)]
+    assert len(add) == len(pairs)
+    spare = lambda c, t: (lm_scoring.STRENGTH + lm_scoring.DISCOUNT * t) / (lm_scoring.STRENGTH + c)
+
+    def p(w, c):
+        out = add.get((w, c), 0.0)
+        for s, t in enumerate(model.totals):
+            top = root.get(w, [0.0] * samples)[s] / (lm_scoring.STRENGTH + t.root[0]) + spare(*t.root) / (len(counts) + 1)
+            out += spare(customers[c], t.T[c]) * top / samples
+        return out
+
+    # Over all words and the unknown one, the probabilities of a context sum to 1, also of a context never seen.
+    for c in [*customers, 5000]:
+        assert abs(sum(p(w, c) for w in {h for x in trained for h in known[x][1]}) + p(-1, c) - 1) < 1e-9
+    texts_of, n_of = dict(every), Counter(k for k, _ in every)
     for r in got:
-        assert r["n_tokens"] == want[r["doc_id"]][0] and abs(r["base_score"] - want[r["doc_id"]][1]) < 1e-6 and r["score"] < 0
-    # Over all words and the unknown one, the predictive probabilities of a context sum to 1.
-    rows_ = model.words.collect()
-    ctx = np.array([c for r in rows_ for c in r["ctx"]], np.int64)
-    cnt = np.array([c for r in rows_ for c in r["cnt"]], float)
-    word = np.repeat(np.arange(len(rows_)), [len(r["ctx"]) for r in rows_])
-    import pyarrow as pa
-
-    kept = lm_scoring._kept(pa.array([r["kept"] for r in rows_], pa.list_(pa.int32())), len(rows_), ctx, word, len(model.totals))
-    p = lm_scoring.word_probabilities(model.totals, len(rows_), ctx, word, cnt, kept)
-    unseen = lm_scoring.word_probabilities(model.totals, 1, ctx[:0], ctx[:0], cnt[:0], [(cnt[:0], cnt[:0], np.zeros(1))] * len(model.totals))
-    assert np.allclose(p.sum(0) + unseen[0], 1)
-    place = {bytes(r["w"]): k for k, r in enumerate(rows_)}
-    n_of = Counter(k for k, _ in every)
-    score = {r["doc_id"]: r["score"] for r in got}
-    for k, ws in every:
-        path = zip(ws, (lm_scoring.word_class(w) for w in [b"", *ws]), strict=False)
-        want_score = sum(math.log10((p[place[w]] if w in place else unseen[0])[c]) for w, c in path)
-        assert k is None or n_of[k] > 1 or abs(score[k] - want_score) < 1e-5 * max(1, len(ws))
+        if r["doc_id"] is None or n_of[r["doc_id"]] > 1:
+            continue
+        words = known[texts_of[r["doc_id"]]][0]
+        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (len(counts) + 1))) for w in words)
+        assert (r["n_tokens"], r["n_known"]) == (len(words), sum(w in counts for w in words)) and abs(r["base_score"] - base) < 1e-6
+        assert abs(r["score"] - sum(math.log10(p(w, c)) for w, c in path(texts_of[r["doc_id"]]))) < 1e-6
+    # However the rows lie, the draws and so the scores are the same; blocks that meet a few at a time count alike.
+    monkeypatch.setattr(lm_scoring, "MERGED", 1)
+    other = lm_scoring.split_rows(data.repartition(5))
+    again = lm_scoring.score(other, lm_scoring.fit(other.where("not held_out"), 1, 2, own_words=12)).collect()
+    by = lambda rows: sorted((str(r["doc_id"]), round(r["score"], 6), round(r["base_score"], 6), r["n_known"]) for r in rows)
+    assert by(got) == by(again)
     none = lm_scoring.split_rows(empty)
     assert lm_scoring.score(none, lm_scoring.fit(none, 1, 1)).isEmpty()
+    bare = lm_scoring.score(rows, lm_scoring.fit(none, 1, 1)).where("doc_id = 0").first()
+    assert (bare["n_known"], bare["base_score"], bare["score"]) == (0, 0.0, 0.0)
 
 
 def seated_one_by_one(c, a, sweeps, rng):
@@ -324,8 +383,10 @@ def test_lm_tables(spark):
     # A frequent word's tables are those of its many customers, not of a fixed number of moves.
     data = spark.createDataFrame([(k, " ".join(["w", f"rare{k}"] * 40)) for k in range(500)], "doc_id long, text string")
     model = lm_scoring.fit(lm_scoring.split_rows(data))
-    row = model.words.where("w = cast('w' as binary)").first()
-    assert sum(row["cnt"]) == 500 * 40 and sum(row["kept"][: len(row["ctx"])]) > 4 * len(row["ctx"])  # 33 in all where a sweep moved four
+    h = hashed(b"w")[1][0]
+    held = [(r, lm_scoring._pairs(r)) for r in (x.asDict() for x in model.state.collect())]
+    (cnt, kept), = [(x[3][at], lm_scoring.unpacked(r["kept"], "<u4")[at]) for r, x in held for at in [x[0][x[1]] == h] if at.any()]
+    assert cnt.sum() == 500 * 40 and kept.sum() > 4 * len(model.totals) * len(cnt)
 
 
 def test_mixing(spark, docs, empty):
