@@ -1,94 +1,121 @@
 """Exact dedup by a persistent digest index (op 8), in DataFrame operations only.
 
-The index is a table bucketed and sorted by the SHA-256 digest of a text. New
-rows are hashed, grouped by digest, anti-joined with the index and appended, so
-a text is paid for once, whichever batch brings it.
+The index is a table bucketed and sorted by the SHA-256 digest of a text. A new
+batch is hashed, grouped by digest and joined with the index by sort-merge: the
+digests that an anti-join leaves are appended, and those that the index knows
+are appended to a second table of sightings, bucketed alike. Files are only ever
+added; a reader takes the largest doc_id and the sum of the counts of a digest.
 
 Defined cases: a null text counts as empty; of equal texts the row with the
-largest doc_id stays (a null doc_id is below all others); repeated rows each
-count in group_size; an empty table gives no rows; extra columns are ignored.
+largest doc_id stays (a null doc_id is below all others), over all batches; of
+repeated rows with one doc_id and text one stays and each counts in group_size;
+an empty table gives no rows; extra columns pass through whatever their names.
 """
 
 from __future__ import annotations
 
-import uuid
+from hashlib import md5
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_path, table, written
 
+COLUMNS = "digest string, keep_id long, group_size long"
+
 
 def digest_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
 class DigestIndex:
-    """(digest, keep_id, group_size), bucketed and sorted by digest."""
+    """Digests by folder: one that exists is opened, with the number of buckets it was made with, and never overwritten."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = 64):
-        self.spark, self.buckets = spark, buckets
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.path = path or shared_path(spark, "digest-index")
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
+        self.spark, self.path = spark, path or shared_path(spark, "digest-index")
+        self.buckets = self._made_with() or buckets
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+    def _made_with(self) -> int | None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        return next((int(n.removeprefix("first-")) for n in names if n.startswith("first-")), None)
 
-    def read(self) -> DataFrame:
-        return self.spark.table(self.name)
+    def _table(self, kind: str) -> str:
+        """Name of the table over a folder of the index; the session learns of it where it does not know it yet."""
+        path = f"{self.path}/{kind}-{self.buckets}"
+        name = f"digests_{md5(path.encode()).hexdigest()}"
+        self.spark.sql(f"create table if not exists {name} ({COLUMNS}) using parquet clustered by (digest) sorted by (digest) into {self.buckets} buckets location '{path}'")
+        return name
 
-    def rows(self) -> DataFrame:
-        """The same rows by path: without the bucketing, a join with a hot digest can be split at run time."""
-        return self.spark.read.schema("digest string, keep_id long, group_size long").parquet(self.path)
+    def _append(self, rows: DataFrame, kind: str) -> None:
+        # A file for each bucket and batch.
+        rows.repartition(self.buckets, "digest").write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self._table(kind))
+
+    def read(self) -> DataFrame:
+        """(digest, keep_id, group_size), a row a digest."""
+        again = self.spark.table(self._table("again")).groupBy("digest").agg(F.max("keep_id").alias("later"), F.sum("group_size").alias("more"))
+        first = self.spark.table(self._table("first")).hint("merge").join(again, "digest", "left")
+        return first.select("digest", F.greatest("keep_id", "later").alias("keep_id"), (F.col("group_size") + F.coalesce("more", F.lit(0))).alias("group_size"))
 
     def ingest(self, signatures: DataFrame) -> None:
-        """Append the digests of (doc_id, digest) rows that the index does not hold yet.
+        """Add a batch of (doc_id, digest) rows.
 
         The partial aggregation leaves a row per digest and task, so a group of
-        copies of any size costs its tasks one row each.
+        copies of any size costs its tasks one row each. The index is not
+        shuffled by the joins: its buckets are their partitions.
         """
-        fresh = signatures.groupBy("digest").agg(F.max("doc_id").cast("long").alias("keep_id"), F.count("*").alias("group_size"))
-        if self.exists():
-            fresh = fresh.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
-        fresh = fresh.repartition(self.buckets, "digest")  # a file for each bucket
-        fresh.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).mode("append").saveAsTable(self.name)
+        batch = written(signatures.groupBy("digest").agg(F.max("doc_id").cast("long").alias("keep_id"), F.count("*").alias("group_size")), "batch")
+        known = self.spark.table(self._table("first")).select("digest")
+        # Both read the index before the first of them is appended to.
+        again = written(batch.hint("merge").join(known, "digest", "left_semi"), "again")
+        self._append(batch.hint("merge").join(known, "digest", "left_anti"), "first")
+        self._append(again, "again")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) a row of ``docs``.
+def repeats(signatures_: DataFrame) -> bool:
+    """Whether some (doc_id, digest) occurs more than once."""
+    return not signatures_.groupBy("digest", "doc_id").count().where("count > 1").limit(1).isEmpty()
 
-    With an index that already holds a text, keep_id is the row that brought it
-    and no new row with that text is kept.
+
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int = 1) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) a row of ``docs``, as the index has it once all are in.
+
+    With ``batches``, rows come in so many batches by a hash of their doc_id.
     """
     index = index or DigestIndex(docs.sparkSession)
     mine = written(signatures(docs), "digests")
-    index.ingest(mine)
-    return (
-        mine.join(index.rows(), "digest")
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
-    )
+    for k in range(batches):
+        index.ingest(mine.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+    # Written, so that both sides of the join are dealt out anew and a hot digest can be split at run time.
+    got = mine.join(written(index.read(), "index"), "digest").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    if repeats(mine):
+        first = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy(F.lit(0))) == 1
+        got = got.withColumn("kept", F.col("kept") & first)
+    return got.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-def keep_first_copies(docs: DataFrame) -> DataFrame:
+def keep_first_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, all columns; one of several rows with one doc_id and text."""
-    index = DigestIndex(docs.sparkSession)
+    index = index or DigestIndex(docs.sparkSession)
     index.ingest(signatures(docs))
-    keep = index.rows().select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"))
-    marked = docs.withColumn("__digest", digest_of(F.col("text")))
+    keep = written(index.read().select(F.col("digest").alias("k_digest"), F.col("keep_id").alias("k_id")), "index")
+    # Rows travel whole in one column, so that none of theirs can clash with the two beside it.
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), digest_of(F.col("text")).alias("digest"))
     # The key holds the doc_id too: copies that go meet no row, so a hot text is spread over all tasks.
-    left = marked.join(keep, marked["__digest"].eqNullSafe(keep["__digest"]) & marked["doc_id"].cast("long").eqNullSafe(keep["__keep"]), "left_semi")
-    repeated = signatures(docs).groupBy("digest", "doc_id").count().where("count > 1").limit(1)
-    if repeated.isEmpty():
-        return left.drop("__digest")
-    return left.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    left = marked.join(keep, (F.col("digest") == F.col("k_digest")) & F.col("id").eqNullSafe(F.col("k_id")), "left_semi")
+    if repeats(signatures(docs)):
+        left = left.dropDuplicates(["id", "digest"])
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    """Two batches, so that copies in the second meet an index that knows their text."""
+    return exact_dedup(table(spark, sf_dir, "documents"), batches=2)
 
 
 ORACLE = {
