@@ -8,9 +8,10 @@ lattices, one for each run of spaces and letters; equal runs share theirs.
 
 Samples come from an A-star search over perturbed log-probabilities: each
 sub-tree of the search has the maximum of its leaves' Gumbel values, drawn top
-down. On the best path, every choice leaves aside a sub-tree (all other pieces
-at that node) whose maximum is a truncated Gumbel draw; the search goes on at
-the largest of these. It returns the k distinct segmentations of the largest
+down. On the best path, every run leaves aside a sub-tree (all other ways through
+that run) whose maximum is a truncated Gumbel draw; the search goes on at the
+largest of these, which is parted by the place in the run where it leaves the
+path, and the place by the piece taken there. It returns the k distinct segmentations of the largest
 perturbed values, and the next largest value as the threshold of the inclusion
 scores. Draws are hashes of the row's key, the sample and the place in the text:
 the same row gives the same samples wherever and however often it runs.
@@ -23,11 +24,15 @@ are ignored. ``decode(encode(text))`` is the text exactly, for any sample.
 
 from __future__ import annotations
 
+import math
 import os
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +45,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of text that a task holds lattices for at a time; a longer text is a block of its own.
 BLOCK_CHARS = 3 << 20
+#: Edges of a step of the lattices below which a numpy pass costs more than it saves.
+FEW = 24
 _RUNS = re.compile(r" *[^ \n]+| +|\n")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_ALL = (1 << 64) - 1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -53,22 +61,35 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def mixed_int(x: int) -> int:
+    x = (x + int(_MIX[0])) & _ALL
+    x = ((x ^ (x >> 30)) * int(_MIX[1])) & _ALL
+    x = ((x ^ (x >> 27)) * int(_MIX[2])) & _ALL
+    return x ^ (x >> 31)
+
+
 def uniform(x: np.ndarray) -> np.ndarray:
     """In (0, 1), from hashes."""
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * (1.0 / (1 << 53))
 
 
+def slots(key: np.ndarray, shift: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((key.astype(np.uint64) * _MIX[0]) >> np.uint64(shift)).astype(np.int64)
+
+
 @dataclass
 class Vocabulary:
-    """Trie of the pieces, as sorted (node * classes + class) keys, and piece weights."""
+    """Trie of the pieces, as an open hash table of (node * classes + class) keys, and piece weights."""
 
     pieces: list[bytes]
     log_p: np.ndarray
     byte_ids: np.ndarray
     classes: np.ndarray  # code point -> class, 0 if in no piece
     n_classes: int
-    keys: np.ndarray
-    targets: np.ndarray
+    keys: np.ndarray  # slot -> key, -1 if free; the last slots are free
+    targets: np.ndarray  # slot -> node
+    shift: int
     piece_at: np.ndarray  # node -> piece id or -1
     roots: np.ndarray  # class -> node below the root, 0 if none
 
@@ -76,6 +97,19 @@ class Vocabulary:
     def byte_log_p(self) -> float:
         return float(self.log_p.min() - 10)
 
+    def below(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, node) of the keys that the trie has, in their order."""
+        slot = slots(key, self.shift)
+        found, left = np.full(len(key), -1, self.targets.dtype), np.arange(len(key))
+        while len(left):
+            at = self.keys[slot]
+            hit = at == key[left]
+            found[left[hit]] = self.targets[slot[hit]]
+            on = ~hit & (at >= 0)
+            left, slot = left[on], slot[on] + 1
+        has = np.nonzero(found >= 0)[0]
+        return has, found[has]
+
 
 @lru_cache(maxsize=2)
 def vocabulary(model_file: str) -> Vocabulary:
@@ -108,16 +142,20 @@ def vocabulary(model_file: str) -> Vocabulary:
             u = v
         at[u] = i
     n = len(letters) + 1
-    keys = np.array([u * n + c for u, c in trie], np.int64)
-    order = np.argsort(keys)
-    roots = np.zeros(n, np.int64)
+    bits = max(8, int(np.ceil(np.log2(4 * len(trie) + 1))))
+    keys, targets = np.full((1 << bits) + len(trie) + 1, -1, np.int64), np.zeros((1 << bits) + len(trie) + 1, np.int32)
+    for k, ((u, c), node) in zip(slots(np.array([u * n + c for u, c in trie], np.int64), 64 - bits).tolist(), trie.items(), strict=True):
+        while keys[k] >= 0:
+            k += 1
+        keys[k], targets[k] = u * n + c, node
+    roots = np.zeros(n, np.int32)
     for (u, c), node in trie.items():
         if u == 0:
             roots[c] = node
     pieces = [b"" if special[i] else m.id_to_piece(i).replace(SPACE, " ").encode() for i in range(size)]
     for b, i in enumerate(byte_ids):
         pieces[i] = bytes([b])
-    return Vocabulary(pieces, log_p, byte_ids, classes, n, keys[order], np.array(list(trie.values()), np.int64)[order], np.array(at, np.int64), roots)
+    return Vocabulary(pieces, log_p, byte_ids, classes, n, keys, targets, 64 - bits, np.array(at, np.int32), roots)
 
 
 @dataclass
@@ -135,6 +173,15 @@ class Lattices:
     reach: np.ndarray  # share of the node's edges up to and with this one
 
 
+def _few(edges: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarray, weight: np.ndarray) -> None:
+    """Weights of the nodes of ``edges``, which come in the order of their nodes' distance from the end."""
+    rows = zip(start[edges].tolist(), end[edges].tolist(), score[edges].tolist(), strict=True)
+    for node, own in groupby(rows, itemgetter(0)):
+        values = [p + weight[to] for _, to, p in own]
+        top = max(values)
+        weight[node] = top + math.log(sum(math.exp(x - top) for x in values))
+
+
 def lattices(runs: list[str], v: Vocabulary) -> Lattices:
     codes = np.frombuffer("\0".join([*runs, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter(map(len, runs), np.int64, len(runs))
@@ -143,55 +190,61 @@ def lattices(runs: list[str], v: Vocabulary) -> Lattices:
     inner = np.ones(len(codes), bool)
     inner[last] = False
     kind = np.where(inner, v.classes[codes], np.int32(-1))
-    where = np.nonzero(inner)[0]
-    starts, ends, ids = [], [], []
-    pos, node, single = where, np.zeros(len(where), np.int64), np.zeros(len(codes), bool)
-    depth = 0
+    pos = np.nonzero(inner)[0].astype(np.int32)
+    node, count, found = np.zeros(len(pos), np.int32), np.zeros(len(codes), np.int32), []
+    single = np.zeros(len(codes), bool)
     while len(pos):
+        depth = len(found)
         c = kind[np.minimum(pos + depth, len(codes) - 1)]
         if depth:
-            key = node * v.n_classes + c
-            k = np.minimum(np.searchsorted(v.keys, key), len(v.keys) - 1)
-            ok = (c > 0) & (v.keys[k] == key)
-            pos, node = pos[ok], v.targets[k[ok]]
+            pos, node, c = pos[c > 0], node[c > 0], c[c > 0]
+            has, node = v.below(node.astype(np.int64) * v.n_classes + c)
+            pos = pos[has]
         else:
             node = v.roots[np.maximum(c, 0)]
             pos, node = pos[node > 0], node[node > 0]
-        depth += 1
         piece = v.piece_at[node]
         done = piece >= 0
-        starts.append(pos[done].astype(np.int32))
-        ends.append(starts[-1] + np.int32(depth))
-        ids.append(piece[done].astype(np.int32))
-        if depth == 1:
-            single[pos[done]] = True
+        found.append((pos[done], piece[done]))
+        count[found[-1][0]] += 1
+        if not depth:
+            single[found[0][0]] = True
     spelt = np.nonzero(inner & ~single)[0].astype(np.int32)  # no piece of its own: byte pieces
-    start, end = np.concatenate([*starts, spelt]), np.concatenate([*ends, spelt + np.int32(1)])
-    piece = np.concatenate([*ids, np.where(codes[spelt] < 0x80, v.byte_ids[np.minimum(codes[spelt], 0x7F)], np.int32(-1))])
+    count[spelt] += 1
+    # Each edge goes to the place of its node; shorter pieces first, byte pieces last.
+    begin = np.concatenate([[0], np.cumsum(count)])
+    n_edges, free = int(begin[-1]), begin[:-1].copy()
+    end, piece, score = np.empty(n_edges, np.int32), np.empty(n_edges, np.int32), np.empty(n_edges)
+    for depth, (at, ids) in enumerate(found):
+        e = free[at]
+        free[at] += 1
+        end[e], piece[e], score[e] = at + (depth + 1), ids, v.log_p[ids]
     n_bytes = np.where(codes[spelt] < 0x80, 1, np.where(codes[spelt] < 0x800, 2, np.where(codes[spelt] < 0x10000, 3, 4)))
-    score = np.concatenate([v.log_p[x] for x in ids] + [v.byte_log_p * n_bytes])
-    del starts, ends, ids, pos, node, where, kind, inner
-    order = np.argsort(start, kind="stable").astype(np.int32)
-    start, end, piece, score = start[order], end[order], piece[order], score[order]
-    del order
+    e = free[spelt]
+    end[e], piece[e], score[e] = spelt + 1, np.where(codes[spelt] < 0x80, v.byte_ids[np.minimum(codes[spelt], 0x7F)], np.int32(-1)), v.byte_log_p * n_bytes
+    start = np.repeat(np.arange(len(codes), dtype=np.int32), count)
+    del found, free, pos, node, kind, inner, count
     # From the ends of the runs back: the weight of all ways from a node to its run's end.
     left = (np.repeat(last, lengths + 1) - np.arange(len(codes))).astype(np.uint16 if len(runs) and lengths.max() < 1 << 16 else np.int32)
     weight = np.zeros(len(codes))
     by = np.argsort(left[start], kind="stable").astype(np.int32)  # edges by how far their node is from the end, then by node
     bounds = np.cumsum(np.bincount(left[start], minlength=1))
-    for a, b in zip(bounds, bounds[1:], strict=False):
+    sizes = np.diff(bounds)
+    # Beyond these steps only a few long runs are left, which go edge by edge.
+    steps = int(np.nonzero(sizes >= FEW)[0][-1]) + 1 if (sizes >= FEW).any() else 0
+    for a, b in zip(bounds[:steps], bounds[1:], strict=False):
         e = by[a:b]
         value, s = score[e] + weight[end[e]], start[e]
         cut = np.nonzero(np.diff(s, prepend=-1))[0]
         top = np.maximum.reduceat(value, cut)
         sums = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(cut, append=len(s)))), cut)
         weight[s[cut]] = top + np.log(sums)
+    _few(by[bounds[steps] :], start, end, score, weight)
     del by, left
     p = score
     p += weight[end]
     p -= weight[start]
     np.exp(p, out=p)
-    begin = np.concatenate([[0], np.cumsum(np.bincount(start, minlength=len(codes)))])
     if len(p):  # the likeliest edge of a node first
         own = begin[:-1][np.diff(begin) > 0]
         best = np.nonzero(p == np.repeat(np.maximum.reduceat(p, own), np.diff(own, append=len(p))))[0]
@@ -207,7 +260,8 @@ def lattices(runs: list[str], v: Vocabulary) -> Lattices:
 
 def _walk(x: Lattices, node: np.ndarray, last: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, step, edge) of a random way from each node to the end of its run, in the order of the positions."""
-    rows, steps, edges = [], [], []
+    taken: list[tuple[np.ndarray, np.ndarray]] = []
+    length = np.zeros(len(node), np.int64)
     live = np.nonzero(node < last)[0]
     at, end, seed = node[live], last[live], seed[live]
     while len(live):
@@ -217,17 +271,17 @@ def _walk(x: Lattices, node: np.ndarray, last: np.ndarray, seed: np.ndarray) ->
         while len(past):
             e[past] += 1
             past = past[x.reach[e[past]] <= u[past]]
-        rows.append(live)
-        steps.append(np.full(len(live), len(steps)))
-        edges.append(e)
+        taken.append((live, e))
+        length[live] += 1
         at = x.to[e]
         more = at < end
         live, at, end, seed = live[more], at[more], end[more], seed[more]
-    if not rows:
-        return (np.empty(0, np.int64),) * 3
-    t = np.concatenate(rows)
-    order = np.argsort(t, kind="stable")
-    return t[order], np.concatenate(steps)[order], np.concatenate(edges)[order]
+    where = np.cumsum(length) - length
+    row = np.repeat(np.arange(len(node)), length)
+    edges = np.empty(len(row), np.int64)
+    for step, (live, e) in enumerate(taken):
+        edges[where[live] + step] = e
+    return row, np.arange(len(row)) - where[row], edges
 
 
 @dataclass
@@ -255,80 +309,107 @@ def _spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + begin[which]
 
 
+class _Numbers(dict):
+    """Numbers of strings, from 0, in the order they come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def sample_block(texts: list[str], seeds: np.ndarray, k: int, v: Vocabulary) -> tuple[Lattices, list[list[Sample]]]:
     """The k samples of each text, best first. Each round draws one more path of every text at once."""
-    number: dict[str, int] = {}
+    number = _Numbers()
     run_of: list[int] = []
     n_runs = []
     for t in texts:
         found = _RUNS.findall(" " + t) if t else []
-        run_of += [number.setdefault(r, len(number)) for r in found]
+        run_of += map(number.__getitem__, found)
         n_runs.append(len(found))
     x = lattices(list(number), v)
     runs = np.array(run_of, np.int64)
     bounds = np.concatenate([[0], np.cumsum(n_runs)]).astype(np.int64)
     log_p = np.log(np.maximum(x.p, 1e-300))
-    several = np.diff(x.begin)[x.start] > 1 if len(x.start) else np.empty(0, bool)
     everyone = np.arange(len(texts))
+    seed_of = seeds.tolist()
 
     def key(d: np.ndarray, sample: int, what: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mixed(seeds[d] ^ (np.uint64(8 * sample + what + 1) * _MIX[1]))
 
     def drawn(d: int, sample: int, what: int, i: int) -> float:
-        return float(uniform(mixed(key(np.array([d]), sample, what) + np.uint64(i)))[0])
+        """The same hash, of one number."""
+        one = mixed_int(seed_of[d] ^ ((8 * sample + what + 1) * int(_MIX[1]) & _ALL))
+        return ((mixed_int((one + i) & _ALL) >> 11) + 0.5) * (1.0 / (1 << 53))
 
-    def path(d: np.ndarray, token: np.ndarray, node: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, token, edge, exponential draw) of random ways on from each token's node."""
+    def path(d: np.ndarray, token: np.ndarray, node: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, token, edge) of random ways on from each token's node."""
         place = (token - bounds[d]).astype(np.uint64)
-        at, step, edge = _walk(x, node, x.last[runs[token]], mixed(key(d, sample, 0) + place))
-        d, token = d[at], token[at]
-        draw = -np.log(uniform(mixed(key(d, sample, 1) + (token - bounds[d]).astype(np.uint64) * np.uint64(65536) + step.astype(np.uint64))))
-        return d, token, edge, draw
-
-    def aside(edge: np.ndarray, before: np.ndarray, bound: np.ndarray, draw: np.ndarray) -> np.ndarray:
-        """Largest perturbed value among the ways that leave a path at each of its edges: a truncated Gumbel draw."""
-        rest = np.where(several[edge], 1 - x.p[edge], 0.0)
+        at, _, edge = _walk(x, node, x.last[runs[token]], mixed(key(d, sample, 0) + place))
+        return d[at], token[at], edge
+
+    def aside(d: np.ndarray, token: np.ndarray, edge: np.ndarray, texts_: np.ndarray, reached: np.ndarray, bound: np.ndarray, sample: int) -> list[list[tuple[float, int, int]]]:
+        """For each of ``texts_``: up to k (value, first edge, end) of the runs of its path with the largest values of the ways that leave the path in them; truncated Gumbel draws."""
+        cut = np.nonzero(np.diff(token, prepend=-1))[0]
+        own, end = d[cut], np.append(cut[1:], len(edge))
+        of = np.concatenate([np.searchsorted(own, texts_), [len(own)]])
+        if not len(cut):
+            return [[] for _ in texts_]
+        whole = np.add.reduceat(log_p[edge], cut)
+        total = np.cumsum(whole) - whole
+        n = np.diff(of)
+        before = total - np.repeat(total[np.minimum(of[:-1], len(total) - 1)] - reached, n)
+        rest = -np.expm1(whole)
+        draw = -np.log(uniform(mixed(key(own, sample, 1) + (token[cut] - bounds[own]).astype(np.uint64))))
         phi = before + np.log(np.maximum(rest, 1e-300))
-        return np.where(rest > 1e-15, phi - np.log(np.exp(np.minimum(phi - bound, 700.0)) + draw), -np.inf)
+        value = np.where(rest > 1e-15, phi - np.log(np.exp(np.minimum(phi - np.repeat(bound, n), 700.0)) + draw), -np.inf)
+        first = np.searchsorted(d, texts_)
+        return [[(g, int(cut[a + i] - z), int(end[a + i] - z)) for g, i in top] for top, a, z in zip(_largest(value, of, k), of[:-1].tolist(), first.tolist(), strict=True)]
 
-    def summed(edge: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        """Log-probability of each path before each of its edges."""
-        total = np.cumsum(log_p[edge])
-        before = total - log_p[edge]
-        return before - np.repeat(before[np.minimum(cut[:-1], max(len(edge) - 1, 0))] if len(edge) else np.zeros(len(cut) - 1), np.diff(cut))
+    def below(phi: float, g: float, u: float) -> float:
+        """The largest value of a sub-tree of log-weight phi, given that it is below g."""
+        return phi - math.log(math.exp(min(phi - g, 700.0)) - math.log(u))
 
     top = -np.log(-np.log(uniform(key(everyone, 0, 2))))
     d, tokens = _spans(bounds[:-1], bounds[1:])
-    d, tok, edge, draw = path(d, tokens, x.first[runs[tokens]], 0)
+    d, tok, edge = path(d, tokens, x.first[runs[tokens]], 0)
     cut = np.searchsorted(d, np.arange(len(texts) + 1))
-    before = summed(edge, cut)
-    left = _largest(aside(edge, before, top[d], draw), cut, k)
+    left = aside(d, tok, edge, everyone, np.zeros(len(texts)), top, 0)
     found: list[list[Sample]] = []
     tokens_of, agendas = [], []
     for q in range(len(texts)):
         e = edge[cut[q] : cut[q + 1]]
         found.append([Sample(e, float(log_p[e].sum()), float(top[q]))])
         tokens_of.append([tok[cut[q] : cut[q + 1]]])
-        agendas.append([(g, 0, i, (int(e[i]),)) for g, i in left[q]])  # value, path, place on it, edges left out there
+        # Value, path, and a stretch of it; or a place of it and the edges left out there.
+        agendas.append([(g, 0, i, j, ()) for g, i, j in left[q]])
     for s in range(1, k):
         picked, nodes, starts = [], [], []
         for q in range(len(texts)):
             if not agendas[q]:
                 continue
             agendas[q].sort()
-            g, r, i, out = agendas[q].pop()
+            g, r, i, j, out = agendas[q].pop()
             old, toks = found[q][r].edges, tokens_of[q][r]
+            prefix = float(log_p[old[:i]].sum())
+            if not out:  # the place in the stretch, and the largest values of its other places
+                p, sofar, weights = x.p[old[i:j]].tolist(), 1.0, []
+                for y in p:
+                    weights.append(sofar * (1 - y))
+                    sofar *= y
+                share = list(accumulate(weights))
+                at = min(bisect_right(share, drawn(q, s, 5, i) * share[-1]), len(p) - 1)
+                agendas[q] += [(below(prefix + math.log(w), g, drawn(q, s, 6, i + m)), r, i + m, i + m + 1, (int(old[i + m]),)) for m, w in enumerate(weights) if m != at and w > 1e-15]
+                i, prefix = i + at, prefix + sum(math.log(y) for y in p[:at])
+                out = (int(old[i]),)
             node = int(x.start[old[i]])
             free = [e for e in range(x.begin[node], x.begin[node + 1]) if e not in out]
-            share = np.cumsum(x.p[free])
-            e = free[min(int(np.searchsorted(share, drawn(q, s, 3, i) * share[-1])), len(free) - 1)]
-            prefix = float(log_p[old[:i]].sum())
-            rest = float(share[-1] - x.p[e])
+            share = list(accumulate(x.p[free].tolist()))
+            e = free[min(bisect_right(share, drawn(q, s, 3, i) * share[-1]), len(free) - 1)]
+            rest = share[-1] - float(x.p[e])
             if len(free) > 1 and rest > 1e-15:
-                phi = prefix + np.log(rest)
-                agendas[q].append((float(phi - np.log(np.exp(min(phi - g, 700.0)) - np.log(drawn(q, s, 4, i)))), r, i, (*out, e)))
-            picked.append((q, g, i, e, old[:i], toks[: i + 1], prefix))
+                agendas[q].append((below(prefix + math.log(rest), g, drawn(q, s, 4, i)), r, i, i + 1, (*out, e)))
+            picked.append((q, g, e, old[:i], toks[: i + 1], prefix))
             nodes.append(x.to[e])
             starts.append(toks[i])
         if not picked:
@@ -337,22 +418,21 @@ def sample_block(texts: list[str], seeds: np.ndarray, k: int, v: Vocabulary) ->
         which, tokens = _spans(np.array(starts), bounds[who + 1])
         node = x.first[runs[tokens]]
         node[np.nonzero(np.diff(which, prepend=-1))[0]] = nodes
-        d, tok, edge, draw = path(who[which], tokens, node, s)
+        d, tok, edge = path(who[which], tokens, node, s)
         cut = np.concatenate([np.searchsorted(d, who), [len(d)]])
-        reached = np.array([q[6] + log_p[q[3]] for q in picked])
-        before = summed(edge, cut) + np.repeat(reached, np.diff(cut))
-        left = _largest(aside(edge, before, np.repeat([q[1] for q in picked], np.diff(cut)), draw), cut, k)
-        for n, (q, g, i, e, head, toks, _) in enumerate(picked):
-            tail = edge[cut[n] : cut[n + 1]]
-            edges = np.concatenate([head, [e], tail]).astype(np.int64)
-            agendas[q] += [(h, len(found[q]), i + 1 + j, (int(tail[j]),)) for h, j in left[n]]
+        reached = np.array([q[5] + log_p[q[2]] for q in picked])
+        left = aside(d, tok, edge, who, reached, np.array([q[1] for q in picked]), s)
+        for n, (q, g, e, head, toks, _) in enumerate(picked):
+            edges = np.concatenate([head, [e], edge[cut[n] : cut[n + 1]]]).astype(np.int64)
+            after = len(head) + 1
+            agendas[q] += [(h, len(found[q]), after + i, after + j, ()) for h, i, j in left[n]]
             found[q].append(Sample(edges, float(log_p[edges].sum()), g))
             tokens_of[q].append(np.concatenate([toks, tok[cut[n] : cut[n + 1]]]))
     for q, samples in enumerate(found):
         threshold = max((g[0] for g in agendas[q]), default=-np.inf)
         for f in samples if threshold > -np.inf else []:
-            z = np.exp(min(f.log_prob - threshold, 700.0))
-            f.log_inclusion = float(np.log(-np.expm1(-z))) if z > 1e-300 else f.log_prob - threshold
+            z = math.exp(min(f.log_prob - threshold, 700.0))
+            f.log_inclusion = math.log(-math.expm1(-z)) if z > 1e-300 else f.log_prob - threshold
     return x, found
 
 
@@ -368,11 +448,14 @@ def edge_ids(x: Lattices, edges: np.ndarray, v: Vocabulary) -> np.ndarray:
 
 
 def decode_ids(ids: list[int], v: Vocabulary) -> str:
-    return b"".join(v.pieces[i] for i in ids).decode("utf-8", "replace").removeprefix(" ")
+    return b"".join(map(v.pieces.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+
 
+def encode(docs: DataFrame, samples: int = 2, key: str = "doc_id", text: str = "text", model_file: str | None = None, decoded: bool = False) -> DataFrame:
+    """(key, sample, ids, n_pieces, log_prob, perturbed, log_inclusion): ``samples`` rows a row of ``docs``, fewer if it has fewer segmentations.
 
-def encode(docs: DataFrame, samples: int = 2, key: str = "doc_id", text: str = "text", model_file: str | None = None) -> DataFrame:
-    """(key, sample, ids, n_pieces, log_prob, perturbed, log_inclusion): ``samples`` rows a row of ``docs``, fewer if it has fewer segmentations."""
+    With ``decoded``, ``exact`` says whether the ids decode to the text: while it is at hand, so that it is not read or joined again.
+    """
     model_file = model_file or os.environ.get("TOKENIZER_MODEL", MODEL)
 
     def rows(keys: list, texts: list[str], v: Vocabulary) -> pa.RecordBatch:
@@ -383,9 +466,11 @@ def encode(docs: DataFrame, samples: int = 2, key: str = "doc_id", text: str = "
         n = np.array([len(i) for i in ids], np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))
         column = lambda f: pa.array([f(q) for q in flat], pa.float64())
+        whole = [t for t, ss in zip(texts, found, strict=True) for _ in ss]
+        exact = [pa.array([decode_ids(i.tolist(), v) == t for i, t in zip(ids, whole, strict=True)], pa.bool_())] if decoded else []
         return pa.RecordBatch.from_arrays(
-            [pa.array([q for q, _, _ in flat], pa.int64()), pa.array([s for _, s, _ in flat], pa.int32()), lists, pa.array(n), column(lambda q: q[2].log_prob), column(lambda q: q[2].value), column(lambda q: q[2].log_inclusion)],
-            [key, "sample", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion"],
+            [pa.array([q for q, _, _ in flat], pa.int64()), pa.array([s for _, s, _ in flat], pa.int32()), lists, pa.array(n), column(lambda q: q[2].log_prob), column(lambda q: q[2].value), column(lambda q: q[2].log_inclusion), *exact],
+            [key, "sample", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion", *["exact"] * decoded],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,7 +488,7 @@ def encode(docs: DataFrame, samples: int = 2, key: str = "doc_id", text: str = "
             yield rows(keys, texts, v)
 
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).mapInArrow(
-        run, f"{key} long, sample int, ids array<int>, n_pieces int, log_prob double, perturbed double, log_inclusion double"
+        run, f"{key} long, sample int, ids array<int>, n_pieces int, log_prob double, perturbed double, log_inclusion double" + ", exact boolean" * decoded
     )
 
 
@@ -422,7 +507,8 @@ def decode(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
 
 
 def op9_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"))
+    """Both ways: each sample is decoded and held against its text."""
+    return encode(table(spark, sf_dir, "documents"), decoded=True)
 
 
 ORACLE: dict[str, str] = {}
