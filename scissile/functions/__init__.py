@@ -75,6 +75,11 @@ def fingerprint_words(on_bits: Column, size: int = 2048) -> list[Column]:
     return [F.when(checked.isNull(), word(k)) for k in range(size // 64)]
 
 
+def on_bits(words: list[Column]) -> Column:
+    """How many bits of a fingerprint of several longs are set."""
+    return reduce(lambda a, b: a + b, [F.bit_count(w) for w in words])
+
+
 def lowest_unset(mask: Column) -> Column:
     """Number of the lowest bit that is not set."""
     return (F.bit_count(mask.bitwiseXOR(mask + 1)) - 1).cast("int")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import comb_label, environment_number, lowest_set, members, trimmed, without_dummy_labels
+from ..functions import bit, comb_label, environment_number, lowest_set, members, trimmed, without_dummy_labels
 from ..operators import combs, cover, screen
 from ..tables import stored, table
 from . import orders
@@ -105,6 +105,26 @@ def fingerprint_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen.supplied(runs, orders.stock(spark, sf_dir))
 
 
+@query("""
+with frag as (select l_orderkey as target_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as k, cast(l_partkey % 128 as int) as b from lineitem),
+half as (select target_id, k, b, case when b < 64 then cast(1 as ubigint) << b else 0 end as low, case when b >= 64 then cast(1 as ubigint) << (b - 64) else 0 end as high from frag),
+stock as (select target_id, bit_or(low) as low, bit_or(high) as high from half group by target_id),
+asked as (select distinct b, low, high from (select target_id, min(b) as b, bit_or(low) as low, bit_or(high) as high from half where k <= 2 group by target_id)),
+held as (select b, s.low, s.high from (select distinct target_id, b from frag) join stock s using (target_id))
+select cast(case when a.low >= 9223372036854775808 then cast(a.low as hugeint) - 18446744073709551616 else a.low end as bigint) as w0,
+       cast(case when a.high >= 9223372036854775808 then cast(a.high as hugeint) - 18446744073709551616 else a.high end as bigint) as w1, count(*) as n_bb
+from asked a join held h on h.b = a.b and h.low & a.low = a.low and h.high & a.high = a.high group by all""")
+def fingerprint_screen_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containment of fingerprints of 128 bits, in two longs with all 64 of their bits: which orders hold the first two lines of another."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    b = F.col("l_partkey") % 128
+    words = [F.when(b < 64, bit(b)).otherwise(0).alias("w0"), F.when(b >= 64, bit(b - 64)).otherwise(0).alias("w1")]
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(order).alias("k"), *words)
+    union = [F.bit_or(w).alias(w) for w in ("w0", "w1")]
+    held = stored(lines.groupBy("l_orderkey").agg(*union, *[F.bit_or(F.when(F.col("k") <= 2, F.col(w)).otherwise(0)).alias(f"first_{w}") for w in ("w0", "w1")]), "orders")
+    return screen.supplied_wide(held.select(F.col("first_w0").alias("w0"), F.col("first_w1").alias("w1")), held.select("w0", "w1"), ["w0", "w1"])
+
+
 @query(
     "with "
     + _FRAG

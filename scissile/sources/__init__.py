@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import trimmed
+from ..tables import stored
 
 PROPERTIES = "cano_smiles string, num_heavy_atoms int, num_rings int, pfp array<int>"
 
@@ -17,10 +17,19 @@ def read_lines(spark: SparkSession, path: str, column: str = "smiles") -> DataFr
 
 
 def with_ids(df: DataFrame, key: str = "bb_id") -> DataFrame:
-    """``df`` with a lasting number from 0: a row's identity in a stock, in the order of the rows."""
-    columns = df.columns
-    schema = StructType([*df.schema.fields, StructField(key, LongType(), False)])
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema).select(key, *columns)
+    """``df`` with a lasting number from 0: a row's identity in a stock, in the order of the rows.
+
+    Rows are numbered within their partition in the order they lie there; the
+    counts of the partitions before, a row a partition, are added.
+    """
+    at = F.monotonically_increasing_id()  # the partition, and 33 bits for the row
+    rows = stored(df.withColumn(key, at), "numbered")
+    part = F.shiftright(F.col(key), 33)
+    counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    number = F.col("before") + F.col(key).bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("part", part).join(F.broadcast(offsets), "part").select(number.alias(key), *df.columns)
 
 
 def read_smiles_json(spark: SparkSession, path: str) -> DataFrame:
@@ -28,9 +37,9 @@ def read_smiles_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("smiles string").option("multiLine", True).json(path)
 
 
-def read_properties(spark: SparkSession, path: str) -> DataFrame:
-    """Molecule properties from JSON, an array or lines; a row without a field is an error."""
-    rows = spark.read.schema(PROPERTIES).option("multiLine", True).json(path)
+def read_properties(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    """Molecule properties from JSON lines, which tasks can split, or with ``array`` from files of one array; a row without a field is an error."""
+    rows = spark.read.schema(PROPERTIES).option("multiLine", array).json(path)
     missing = F.col("cano_smiles").isNull() | F.col("num_heavy_atoms").isNull() | F.col("num_rings").isNull() | F.col("pfp").isNull()
     return rows.withColumn("cano_smiles", F.when(missing, F.raise_error(F.lit("a molecule lacks a property"))).otherwise(F.col("cano_smiles")))
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scissile import functions as S
+from scissile import sources
 from scissile.operators import combs, cover, screen
 from scissile.plans import catalog
 from scissile.plans.disassembly import disassemble
@@ -148,3 +149,41 @@ def test_queries_against_sql(spark, name):
     cols = sorted(want.columns)
     rows = lambda d: sorted(map(tuple, d[cols].astype(str).values))
     assert rows(got) == rows(want)
+
+
+def test_containment_of_all_bits(spark):
+    """Bit 63, fingerprints of several longs, and queries without bits, against brute force."""
+    rng = np.random.default_rng(3)
+    wide = [tuple(int(x) for x in rng.choice(128, rng.integers(0, 6), replace=False)) for _ in range(60)] + [(63,), (127,), (63, 127), ()]
+    word = lambda bits, k: int(np.array(sum(1 << (b - 64 * k) for b in bits if b // 64 == k), np.uint64).view(np.int64))
+    rows = spark.createDataFrame([(word(x, 0), word(x, 1)) for x in wide], "w0 long, w1 long")
+    got = {(r["w0"], r["w1"]): r["n_bb"] for r in screen.supplied_wide(rows, rows, ["w0", "w1"]).collect()}
+    assert got == {(word(x, 0), word(x, 1)): sum(set(x) <= set(y) for y in wide) for x in wide}
+    one = spark.createDataFrame([(k, word(x, 0), 1) for k, x in enumerate(wide)], "query_id long, mask long, n int")
+    low = [{b for b in x if b < 64} for x in wide]
+    stock = one.withColumnRenamed("query_id", "bb_id")
+    want = {(i, j) for i, x in enumerate(low) for j, y in enumerate(low) if x <= y}
+    assert {tuple(r) for r in screen.screened(one, stock).collect()} == want
+    allowed = spark.createDataFrame([(i, (7 * i) % 64) for i in range(64)], "query_id long, bb_id long")
+    assert {tuple(r) for r in screen.screened(one, stock, allowed).collect()} == {p for p in want if p[1] == (7 * p[0]) % 64}
+    bits = rows.select(S.on_bits([F.col("w0"), F.col("w1")]).alias("n")).collect()
+    assert [r["n"] for r in bits] == [len(x) for x in wide]
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    import gzip
+    import json
+
+    with gzip.open(tmp_path / "stock.json.gz", "wt") as f:
+        json.dump([{"smiles": "CCO"}, {"smiles": "C1CC1"}], f)
+    assert sorted(r["smiles"] for r in sources.read_smiles_json(spark, str(tmp_path / "stock.json.gz")).collect()) == ["C1CC1", "CCO"]
+    rows = spark.createDataFrame([("CCO", 3, 0, [1, 5]), ("C1CC1", 3, 1, [])], sources.PROPERTIES)
+    sources.write_properties(rows, str(tmp_path / "properties"))
+    assert sorted(map(tuple, sources.read_properties(spark, str(tmp_path / "properties")).collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    (tmp_path / "array.json").write_text(json.dumps([r.asDict() for r in rows.collect()]))
+    assert sources.read_properties(spark, str(tmp_path / "array.json"), array=True).count() == 2
+    sources.write_unique(rows.unionAll(rows), "cano_smiles", str(tmp_path / "unique"))
+    assert sorted(r["smiles"] for r in sources.read_lines(spark, str(tmp_path / "unique")).collect()) == ["C1CC1", "CCO"]
+    numbered = sources.with_ids(spark.range(1000).repartition(5)).collect()
+    assert sorted(r["bb_id"] for r in numbered) == list(range(1000)) and len({r["id"] for r in numbered}) == 1000
+    assert [r["bb_id"] for r in sources.with_ids(spark.range(50, numPartitions=3)).orderBy("id").collect()] == list(range(50))
