@@ -167,7 +167,8 @@ def shares(rows: DataFrame, key: str, n: int, out: str) -> DataFrame:
 def fused(evidence: DataFrame, languages: list[str], smoothing: float = 5.0) -> DataFrame:
     """(page_id, lang, p, text_lang, declared, host) from text evidence and what all pages say about markup, suffixes and hosts."""
     n = len(languages)
-    rows = evidence.withColumn("q", normalised(F.col("text")))
+    # Written before anything is summed, so that the texts are read once.
+    rows = written(evidence.withColumn("q", normalised(F.col("text"))), "evidence")
     total = [float(x or 0) for x in rows.agg(*[F.sum(F.get("q", F.lit(k))) for k in range(n)]).first()]
     size = sum(total)
     everywhere = F.array(*[F.lit((x + 1) / (size + n)) for x in total])
@@ -176,7 +177,6 @@ def fused(evidence: DataFrame, languages: list[str], smoothing: float = 5.0) ->
     said = shares(rows, "declared", n, "m").withColumn("log_m", F.zip_with("m", F.array(*[F.lit(x) for x in total]), lambda a, b: F.log((a + 1) / (b + n + 2))))
     said = said.select("declared", F.when(F.col("declared") == "", F.array_repeat(F.lit(0.0), n)).otherwise(F.col("log_m")).alias("log_m"))
     suffixes = shares(rows, "suffix", n, "s").withColumn("log_s", F.zip_with("s", F.array(*[F.lit(x) for x in total]), lambda a, b: F.log((a + smoothing) / (b + n * smoothing)))).select("suffix", "log_s")
-    rows = written(rows, "evidence")
 
     def looked_up(left: DataFrame, right: DataFrame, key: str, name: str) -> DataFrame:
         return left.join(written(right, name), key, "left")

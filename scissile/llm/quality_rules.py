@@ -6,13 +6,14 @@ in one CASE, those that reject most per cost first, so that a rejected document
 pays for no later rule. The order changes the work, never the verdict.
 
 Defined cases: a null text has no words and fails ``few_words``; an empty table
-gives no rows; repeated rows are judged alike; only the text is read, so extra
-columns pass through.
+gives no rows; repeated rows are judged alike; only the text is read, and extra
+columns pass through whatever their names.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,27 +63,42 @@ def repeated_words(tokens: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(tokens) <= window, F.lit(0)).otherwise(let(hashes, lambda h: covered(starts(h))))
 
 
+@dataclass(frozen=True)
+class Measures:
+    """What rules look at: the text, its words, and numbers of them as columns, whether computed already or not."""
+
+    text: Column
+    words: Column
+    n: Column
+    chars: Column
+    symbols: Column
+    dup_lines: Column
+    repeated: Column
+
+
+def measures(text: Column, w: Column) -> Measures:
+    return Measures(text, w, F.size(w), F.length(F.array_join(w, "")), symbol_count(text), duplicate_lines(text), repeated_words(w))
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``fails`` is true where a document is rejected; it may use the columns ``text`` and ``__w`` (its words)."""
+    """``fails`` is true where a document is rejected."""
 
     name: str
-    fails: Column
+    fails: Callable[[Measures], Column]
 
 
 def default_rules() -> list[Rule]:
     """Lenient rules for prose; a clean document of any language passes all of them."""
-    n = F.size("__w")
-    chars = F.length(F.array_join("__w", ""))
     return [
-        Rule("few_words", n < 10),
-        Rule("word_length", (chars < 2 * n) | (chars > 15 * n)),
-        Rule("symbols", symbol_count(F.col("text")) * 10 > n),
-        Rule("shouting", F.size(F.filter("__w", lambda w: w.rlike("^\\p{Lu}{2,}"))) * 2 > n),
-        Rule("letters", F.size(F.filter("__w", lambda w: w.rlike("\\p{L}"))) * 10 < 7 * n),
-        Rule("repeated_lines", duplicate_lines(F.col("text")) * 10 > 3 * F.size(F.split("text", "\n"))),
-        Rule("few_kinds", let(F.size(F.array_distinct("__w")), lambda k: k * k < n)),
-        Rule("repeated_words", repeated_words(F.col("__w")) * 100 > 20 * n),
+        Rule("few_words", lambda m: m.n < 10),
+        Rule("word_length", lambda m: (m.chars < 2 * m.n) | (m.chars > 15 * m.n)),
+        Rule("symbols", lambda m: m.symbols * 10 > m.n),
+        Rule("shouting", lambda m: F.size(F.filter(m.words, lambda w: w.rlike("^\\p{Lu}{2,}"))) * 2 > m.n),
+        Rule("letters", lambda m: F.size(F.filter(m.words, lambda w: w.rlike("\\p{L}"))) * 10 < 7 * m.n),
+        Rule("repeated_lines", lambda m: m.dup_lines * 10 > 3 * F.size(F.split(m.text, "\n"))),
+        Rule("few_kinds", lambda m: let(F.size(F.array_distinct(m.words)), lambda k: k * k < m.n)),
+        Rule("repeated_words", lambda m: m.repeated * 100 > 20 * m.n),
     ]
 
 
@@ -95,61 +111,78 @@ def measured(docs: DataFrame, rules: list[Rule], sample_rows: int = 500) -> list
     total = docs.count()
     if not total:
         return [(r, 1.0, 0.0) for r in rules]
-    chosen = docs.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1_000_000)) < max(1, round(1_000_000 * min(1.0, sample_rows / total))))
-    sample = written(chosen.select("text").coalesce(1), "rule-sample").withColumn("__w", words(F.col("text")))
+    text = F.coalesce("text", F.lit(""))
+    chosen = docs.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < max(1, round(1_000_000 * min(1.0, sample_rows / total)))).select(text.alias("text"))
+    # All tasks filter; only the rows that they find meet in one file.
+    sample = written(chosen.repartition(1), "rule-sample").withColumn("w", words(F.col("text")))
     n = max(1, sample.count())
+    m = measures(F.col("text"), F.col("w"))
 
     def timed(c: Column) -> tuple[float, int]:
         began = time.perf_counter()
         got = sample.agg(F.sum(c.cast("int"))).first()[0] or 0
         return time.perf_counter() - began, got
 
-    timed(F.size("__w") < 0)  # compiles the reader
-    floor, _ = timed(F.size("__w") < 0)
+    timed(m.n < 0)  # compiles the reader
+    floor, _ = timed(m.n < 0)
     out = []
     for r in rules:
-        seconds, failed = timed(r.fails)
+        seconds, failed = timed(r.fails(m))
         out.append((r, max(seconds - floor, 1e-4) / n, failed / n))
     return out
 
 
-def ordered(measures: list[tuple[Rule, float, float]]) -> list[Rule]:
+def ordered(measures_: list[tuple[Rule, float, float]]) -> list[Rule]:
     """Most rejection per cost first; ties by name."""
-    return [r for r, _, _ in sorted(measures, key=lambda m: (-m[2] / m[1], m[1], m[0].name))]
+    return [r for r, _, _ in sorted(measures_, key=lambda m: (-m[2] / m[1], m[1], m[0].name))]
 
 
-def first_failure(rules: list[Rule]) -> Column:
+def first_failure(rules: list[Rule], m: Measures) -> Column:
     """Name of the first rule that fails, null if none does; later rules are not evaluated."""
     out = F.lit(None).cast("string")
     for r in reversed(rules):
-        out = F.when(r.fails, F.lit(r.name)).otherwise(out)
+        out = F.when(r.fails(m), F.lit(r.name)).otherwise(out)
     return out
 
 
-def cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 500) -> DataFrame:
-    """``docs`` with ``__w`` (words) and ``failed`` (first rule that rejects the row, or null)."""
-    rules = ordered(measured(docs, rules or default_rules(), sample_rows))
-    return docs.withColumn("__w", words(F.col("text"))).withColumn("failed", first_failure(rules))
+def verdict(rules: list[Rule]) -> Column:
+    """The first failure of a row; words are cut once a row, and numbers of them only where a rule asks."""
+    text = F.coalesce("text", F.lit(""))
+    return let(words(text), lambda w: first_failure(rules, measures(text, w)))
+
+
+def cascade(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = 500, into: str = "failed") -> DataFrame:
+    """``docs`` with the first rule that rejects each row, or null, in a column ``into``, or that name and as many ``_`` as make it a new one."""
+    while into.lower() in map(str.lower, docs.columns):
+        into += "_"
+    return docs.select("*", verdict(ordered(measured(docs, rules or default_rules(), sample_rows))).alias(into))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with the columns they came with."""
-    return cascade(docs).where("failed is null").select(*docs.columns)
+    return docs.where(verdict(ordered(measured(docs, default_rules()))).isNull())
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that every row returns are computed once and passed to the rules; the rest of the cascade stops at the first failure."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    base = cascade(docs).select(
-        "doc_id",
-        F.size("__w").cast("long").alias("n_words"),
-        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
-        symbol_count(F.col("text")).cast("long").alias("n_symbols"),
-        duplicate_lines(F.col("text")).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("__w")).cast("long").alias("n_repeat_words"),
-        "failed",
-    )
-    base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return base.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & F.col("failed").isNull()).alias("kept"))
+    rules, names = ordered(measured(docs, default_rules())), ("n", "chars", "symbols", "dup_lines", "repeated")
+    text = F.coalesce("text", F.lit(""))
+
+    def judged(w: Column, numbers: Column) -> Column:
+        m = Measures(text, w, *[numbers[k] for k in names])
+        return F.struct(*[m_.cast("long").alias(k) for k, m_ in zip(names, (m.n, m.chars, m.symbols, m.dup_lines, m.repeated), strict=True)], first_failure(rules, m).alias("failed"))
+
+    def of(w: Column) -> Column:
+        m = measures(text, w)
+        return let(F.struct(*[getattr(m, k).alias(k) for k in names]), lambda numbers: judged(w, numbers))
+
+    r = docs.select("doc_id", let(words(text), of).alias("r")).select("doc_id", "r.*")
+    base_failed = (F.col("n") < 10) | (100 * F.col("repeated") > 20 * F.col("n"))
+    return r.select(
+        "doc_id", F.col("n").alias("n_words"), F.col("chars").alias("word_chars"), F.col("symbols").alias("n_symbols"), F.col("dup_lines").alias("n_dup_lines"), F.col("repeated").alias("n_repeat_words"),
+        base_failed.alias("base_failed"), (~base_failed & F.col("failed").isNull()).alias("kept"),
+    )
 
 
 ORACLE = {

@@ -44,7 +44,7 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of text that a task holds lattices for at a time; a longer text is a block of its own.
-BLOCK_CHARS = 3 << 20
+BLOCK_CHARS = 3 << 19
 #: Edges of a step of the lattices below which a numpy pass costs more than it saves.
 FEW = 24
 _RUNS = re.compile(r" *[^ \n]+| +|\n")
