@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import bit, comb_label, environment_number, lowest_set, members, trimmed, without_dummy_labels
-from ..operators import combs, cover, screen
+from ..functions import bit, comb_label, environment_number, fingerprint_words, lowest_set, members, on_bits, trimmed, without_dummy_labels
+from ..operators import assembly, combs, cover, screen
 from ..tables import stored, table
 from . import orders
 from .disassembly import stage_counts as count_stages
@@ -293,6 +293,75 @@ def bb_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.withColumn("page", F.floor((F.col("item_no") - 1) / 10))
 
 
+#: Lines as atoms in a row; the bond to the line before is cut where the supplier's number divides by three.
+_ATOMS = """
+atom as (select l_orderkey as target_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as atom, cast(l_suppkey % 3 = 0 as int) as cut from lineitem),
+placed as (select target_id, atom, cast(sum(case when atom > 0 then cut else 0 end) over (partition by target_id order by atom) as bigint) as f from atom),
+sized as (select target_id, f, count(*) as n, min(atom) as lo, max(atom) as hi, max(f) over (partition by target_id) as last_f from placed group by target_id, f)"""
+
+
+def _molecules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Atoms, their fragments, and the cuts between these, of the orders."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("target_id"), (F.row_number().over(order) - 1).cast("long").alias("atom"), (F.col("l_suppkey") % 3 == 0).alias("cut"))
+    atoms = stored(lines, "atoms")
+    bonds = atoms.where("atom > 0").select("target_id", F.col("atom").alias("bond_seq"), (F.col("atom") - 1).alias("a1"), F.col("atom").alias("a2"), "cut")
+    placed = stored(assembly.fragments(atoms, bonds), "placed")
+    return atoms, placed, stored(assembly.cuts(bonds, placed), "cuts")
+
+
+@query("with " + _ATOMS + " select target_id, f as frag_id, n as n_atoms, lo as first_atom from sized")
+def initial_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments of every target when all cut bonds break."""
+    placed = _molecules(spark, sf_dir)[1]
+    return placed.groupBy("target_id", F.col("frag_id").cast("long").alias("frag_id")).agg(F.count("*").alias("n_atoms"), F.min("atom").alias("first_atom"))
+
+
+@query("with " + _ATOMS + """
+select a.target_id, a.f as lo, to_json(range(a.lo, b.hi + 1)) as atoms, a.n + b.n as n_atoms, cast(a.f > 0 as bigint) + cast(b.f < b.last_f as bigint) as n_ends, a.last_f - 1 as n_broken
+from sized a join sized b on b.target_id = a.target_id and b.f = a.f + 1""")
+def comb_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of neighbouring fragments put together: the cut between them closed, all others open."""
+    _, placed, cuts = _molecules(spark, sf_dir)
+    frags = placed.select("target_id", "frag_id").distinct()
+    pairs = stored(combs.connected_combs(frags, cuts, 2), "pairs")
+    still = assembly.broken(pairs, cuts).groupBy("target_id", "mask").agg(F.count("*").alias("n_broken"))
+    rows = assembly.assembled(pairs, placed, cuts).join(still, ["target_id", "mask"], "left")
+    return rows.select(
+        "target_id", lowest_set(F.col("mask")).cast("long").alias("lo"), F.to_json("atoms").alias("atoms"), F.size("atoms").cast("long").alias("n_atoms"),
+        F.size("ends").cast("long").alias("n_ends"), F.coalesce("n_broken", F.lit(0)).alias("n_broken"),
+    )
+
+
+@query("select l_orderkey as bb_id, count(distinct l_partkey % 128) as n_on from lineitem group by l_orderkey")
+def on_bit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many bits are set in each item's fingerprint of two longs."""
+    numbers = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("bb_id")).agg(F.collect_set((F.col("l_partkey") % 128).cast("int")).alias("pfp"))
+    words = numbers.select("bb_id", *[w.alias(f"w{k}") for k, w in enumerate(fingerprint_words(F.col("pfp"), 128))])
+    return words.select("bb_id", on_bits([F.col("w0"), F.col("w1")]).cast("long").alias("n_on"))
+
+
+@query(_WAYS + """,
+shown as (select target_id, solution_no, unnest(combs) as comb from sols where solution_no = 1),
+long_ as (select target_id, solution_no, comb, r.fp, r.n, r.first_b from shown s join runs r using (target_id) where r.lo = s.comb[1] and r.hi = s.comb[-1] and len(comb) >= 3),
+bits as (select distinct target_id as bb_id, b from frag),
+fitting as (select l.target_id, l.solution_no, l.comb, s.bb_id, s.n as size from long_ l join bits on bits.b = l.first_b join stock s on s.bb_id = bits.bb_id and s.n >= l.n and s.mask & l.fp = l.fp),
+placed as (select *, row_number() over (partition by target_id, solution_no, comb order by size, bb_id) as item_no, count(*) over (partition by target_id, solution_no, comb) as n_items from fitting)
+select target_id, solution_no, to_json(comb) as comb, bb_id, item_no, n_items, (item_no - 1) // 10 as page from placed""")
+def solution_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items for the combs of three lines or more in the first solution of each order, in pages by size."""
+    valid, sizes, judged = _valid(spark, sf_dir)
+    first = stored(cover.capped(cover.numbered(cover.solutions(valid, sizes)), 1), "first")
+    combs_ = first.select("target_id", F.explode("combs").alias("comb")).where(F.size("comb") >= 3)
+    found = combs_.join(judged.select("target_id", members(F.col("mask")).alias("comb"), "fp", "n"), ["target_id", "comb"])
+    stock = stored(orders.stock(spark, sf_dir), "stock")
+    asked = stored(found.select(F.col("fp").alias("mask"), "n").distinct(), "asked")
+    pairs = screen.screened(asked.withColumn("query_id", F.struct("mask", "n")), stock).select("query_id.mask", "query_id.n", "bb_id")
+    items = found.withColumnRenamed("fp", "mask").join(pairs, ["mask", "n"]).join(stock.select("bb_id", F.col("n").alias("size")), "bb_id")
+    shown = cover.items_of(first, items.select("target_id", "comb", "bb_id", "size"))
+    return shown.withColumn("comb", F.to_json("comb")).withColumn("solution_no", F.col("solution_no").cast("long"))
+
+
 @query("""
 with a as (select distinct l_partkey as k from lineitem where l_returnflag = 'R'), b as (select distinct l_partkey as k from lineitem where l_linestatus = 'O')
 select 'both' as kind, k from (from a intersect from b) union all select 'first only', k from (from a except from b) union all select 'any', k from (from a union from b)""")

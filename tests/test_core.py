@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scissile import functions as S
 from scissile import sources
-from scissile.operators import combs, cover, screen
+from scissile.operators import assembly, combs, cover, screen
 from scissile.plans import catalog
 from scissile.plans.disassembly import disassemble
 
@@ -138,7 +138,7 @@ def test_sources(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "u")).count() == 1
 
 
-@pytest.mark.parametrize("name", ["fingerprint_screen", "fragment_edges", "effective_combs", "exact_cover"])
+@pytest.mark.parametrize("name", ["fingerprint_screen", "fragment_edges", "effective_combs", "exact_cover", "comb_assembly", "on_bit_counts"])
 def test_queries_against_sql(spark, name):
     import duckdb
 
@@ -187,3 +187,68 @@ def test_sources_and_sinks(spark, tmp_path):
     numbered = sources.with_ids(spark.range(1000).repartition(5)).collect()
     assert sorted(r["bb_id"] for r in numbered) == list(range(1000)) and len({r["id"] for r in numbered}) == 1000
     assert [r["bb_id"] for r in sources.with_ids(spark.range(50, numPartitions=3)).orderBy("id").collect()] == list(range(50))
+
+
+def test_assembly_against_brute_force(spark):
+    """Random molecules: fragments, cuts that stay, atoms and open ends of combs, connected or not."""
+    rng = np.random.default_rng(8)
+    atoms, bonds = [], []
+    for t in range(6):
+        n = int(rng.integers(4, 14))
+        atoms += [(t, a) for a in range(n)]
+        ends = [(int(rng.integers(0, a)), a) for a in range(1, n)] + [tuple(map(int, rng.choice(n, 2, replace=False)))]
+        bonds += [(t, k, a, b, bool(rng.random() < 0.4)) for k, (a, b) in enumerate(ends)]
+    atoms.append((9, 5))
+    a, b = spark.createDataFrame(atoms, "target_id int, atom long"), spark.createDataFrame(bonds, "target_id int, bond_seq int, a1 long, a2 long, cut boolean")
+    placed = assembly.fragments(a, b)
+    at = {(r["target_id"], r["atom"]): r["frag_id"] for r in placed.collect()}
+
+    def piece(t, start, kept):
+        seen, todo = set(), [start]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [q if p == x else p for u, _, p, q, _ in kept if u == t and x in (p, q)]
+        return seen
+
+    for t, x in atoms:
+        assert {y for u, y in atoms if u == t and at[u, y] == at[t, x]} == piece(t, x, [r for r in bonds if not r[4]])
+    firsts = {}
+    for t, x in sorted(atoms):
+        firsts.setdefault((t, at[t, x]), x)
+    assert all(f == sorted(g for u, g in firsts if u == t).index(f) for t, f in firsts)
+    cuts = assembly.cuts(b, placed)
+    asked = [(t, mask(c)) for t in range(6) for n in (1, 2, 3) for c in combinations(sorted({f for u, f in firsts if u == t}), n)]
+    df = spark.createDataFrame(asked, "target_id int, mask long")
+    inside = lambda m, t, x: m >> at[t, x] & 1
+    open_ = {(t, m): [r for r in bonds if r[0] == t and r[4] and not (inside(m, t, r[2]) and inside(m, t, r[3]))] for t, m in asked}
+    got = {(r["target_id"], r["mask"]): (r["atoms"], r["ends"]) for r in assembly.assembled(df, placed, cuts).collect()}
+    assert set(got) == set(asked)
+    stay = {(r["target_id"], r["mask"], r["bond_seq"]) for r in assembly.broken(df, cuts).collect()}
+    assert stay == {(t, m, r[1]) for (t, m), rs in open_.items() for r in rs}
+    for (t, m), rs in open_.items():
+        low = (m & -m).bit_length() - 1
+        whole = piece(t, firsts[t, low], [r for r in bonds if r not in rs])
+        assert got[t, m] == (sorted(whole), sorted(p if p in whole else q for _, _, p, q, _ in rs if (p in whole) != (q in whole)))
+    assert assembly.fragments(a.limit(0), b).isEmpty()
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_property_screen_ways(spark, few):
+    """Broadcast and ranges give the same pairs, nulls and ties included."""
+    rng = np.random.default_rng(2)
+    stock = [(k, None if k % 17 == 0 else int(rng.integers(0, 9)), int(rng.integers(0, 5))) for k in range(200)]
+    asked = [(k, None if k == 3 else int(rng.integers(-1, 11)), int(rng.integers(0, 5))) for k in range(30)]
+    s, q = spark.createDataFrame(stock, "bb_id int, size int, rings int"), spark.createDataFrame(asked, "query_id int, q_size int, q_rings int")
+    got = sorted((r["query_id"], r["bb_id"]) for r in screen.property_screen(q, s, [("q_size", "size"), ("q_rings", "rings")], few).collect())
+    assert got == sorted((i, j) for i, a, b in asked for j, x, y in stock if None not in (a, x) and x >= a and y >= b)
+    assert screen.property_screen(q, s.limit(0), [("q_size", "size")], few).isEmpty()
+
+
+def test_items_of_solutions(spark):
+    numbered = spark.createDataFrame([(1, 1, [[0, 1], [2]], 2), (1, 2, [[0], [1, 2]], 2)], "target_id int, solution_no int, combs array<array<int>>, n_parts int")
+    items = spark.createDataFrame([(1, [0, 1], k, 50 - k // 2) for k in range(12)] + [(1, [0], 7, 1), (2, [2], 7, 1)], "target_id int, comb array<int>, bb_id int, size int")
+    got = {(r["solution_no"], tuple(r["comb"]), r["item_no"]): (r["bb_id"], r["n_items"], r["page"]) for r in cover.items_of(numbered, items).collect()}
+    order = sorted(range(12), key=lambda k: (50 - k // 2, k))
+    assert got == {(1, (0, 1), i + 1): (k, 12, i // 10) for i, k in enumerate(order)} | {(2, (0,), 1): (7, 1, 0)}
