@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bit, comb_label, environment_number, fingerprint_words, lowest_set, members, on_bits, trimmed, without_dummy_labels
-from ..operators import assembly, combs, cover, screen
+from ..operators import assembly, combs, cover, running, screen
 from ..tables import stored, table
 from . import orders
 from .disassembly import stage_counts as count_stages
@@ -235,15 +235,15 @@ def exact_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover.solution_counts(valid, sizes)
 
 
-def _solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _solutions(spark: SparkSession, sf_dir: str, cap: int | None = None) -> DataFrame:
     valid, sizes, _ = _valid(spark, sf_dir)
-    return cover.numbered(cover.solutions(valid, sizes))
+    return cover.numbered(cover.solutions(valid, sizes, cap))
 
 
 @query(_WAYS + f"select target_id, solution_no, {_SQL_TEXT} as combs, cast(n_parts as int) as n_parts from sols where solution_no <= 5")
 def solutions_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five solutions of each order in a total order: a cap is the feature."""
-    return cover.capped(_solutions(spark, sf_dir), 5).select("target_id", F.col("solution_no").cast("long").alias("solution_no"), _as_text(F.col("combs")).alias("combs"), "n_parts")
+    return cover.capped(_solutions(spark, sf_dir, 5), 5).select("target_id", F.col("solution_no").cast("long").alias("solution_no"), _as_text(F.col("combs")).alias("combs"), "n_parts")
 
 
 @query(_WAYS + f"select target_id, solution_no, {_SQL_TEXT} as combs from sols where n_parts = 3")
@@ -280,17 +280,15 @@ def running_solved_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes, counts = _paired(spark, sf_dir)
     solved = sizes.join(counts, "target_id", "left").select("target_id", (F.coalesce("n_solutions", F.lit(0)) > 0).cast("long").alias("solved"))
     named = solved.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("target_id"), "o_orderpriority"), "target_id")
-    so_far = Window.partitionBy("o_orderpriority").orderBy("target_id").rowsBetween(Window.unboundedPreceding, 0)
-    return named.select("o_orderpriority", "target_id", F.round(F.avg("solved").over(so_far), 9).alias("running_rate"))
+    got = running.so_far(stored(named, "solved"), "o_orderpriority", ["target_id"], "solved")
+    return got.select("o_orderpriority", "target_id", F.round(F.col("running") / F.col("row_no"), 9).alias("running_rate"))
 
 
 @query("select p_brand, p_partkey, p_size, row_number() over (partition by p_brand order by p_size, p_partkey) as item_no, count(*) over (partition by p_brand) as n_items, (row_number() over (partition by p_brand order by p_size, p_partkey) - 1) // 10 as page from part")
 def bb_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a brand's items by size: item i of n."""
-    of = Window.partitionBy("p_brand")
-    number = F.row_number().over(of.orderBy("p_size", "p_partkey"))
-    part = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size", number.cast("long").alias("item_no"), F.count("*").over(of).alias("n_items"))
-    return part.withColumn("page", F.floor((F.col("item_no") - 1) / 10))
+    part = running.so_far(table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_size"), "p_brand", ["p_size", "p_partkey"])
+    return part.select("p_brand", "p_partkey", "p_size", F.col("row_no").alias("item_no"), F.col("n_rows").alias("n_items"), F.floor((F.col("row_no") - 1) / 10).alias("page"))
 
 
 #: Lines as atoms in a row; the bond to the line before is cut where the supplier's number divides by three.

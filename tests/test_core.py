@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scissile import functions as S
 from scissile import sources
-from scissile.operators import assembly, combs, cover, screen
+from scissile.operators import assembly, combs, cover, running, screen
 from scissile.plans import catalog
 from scissile.plans.disassembly import disassemble
 
@@ -252,3 +252,40 @@ def test_items_of_solutions(spark):
     got = {(r["solution_no"], tuple(r["comb"]), r["item_no"]): (r["bb_id"], r["n_items"], r["page"]) for r in cover.items_of(numbered, items).collect()}
     order = sorted(range(12), key=lambda k: (50 - k // 2, k))
     assert got == {(1, (0, 1), i + 1): (k, 12, i // 10) for i, k in enumerate(order)} | {(2, (0,), 1): (7, 1, 0)}
+
+
+@pytest.mark.parametrize("cap", [1, 3, 7])
+def test_capped_covers_are_the_first_ones(spark, cap):
+    """Cutting partial covers keeps the first solutions of the whole list; a target without a cover stays without."""
+    rng = np.random.default_rng(cap)
+    valid = [(t, m) for t in range(5) for m in range(1, 64) if bin(m).count("1") == 1 or rng.random() < 0.4]
+    v = spark.createDataFrame([*valid, (7, 1)], "target_id int, mask long")
+    sizes = spark.createDataFrame([(t, 6) for t in range(5)] + [(7, 2)], "target_id int, n int")
+    every = sorted(map(tuple, cover.capped(cover.numbered(cover.solutions(v, sizes)), cap).collect()))
+    assert sorted(map(tuple, cover.capped(cover.numbered(cover.solutions(v, sizes, cap)), cap).collect())) == every
+    assert {r[0] for r in every} == set(range(5)) and len(every) == 5 * cap
+
+
+@pytest.mark.parametrize("block_rows", [7, 1 << 20])
+def test_running_sums_over_blocks(spark, block_rows):
+    """A hot group, a null group, null values and no rows."""
+    rng = np.random.default_rng(4)
+    rows = [(None if k % 11 == 0 else "hot" if k % 3 else f"g{k % 5}", k, None if k % 7 == 0 else int(rng.integers(0, 9))) for k in range(100)]
+    df = spark.createDataFrame(rows, "g string, k int, v long")
+    got = {r["k"]: (r["row_no"], r["n_rows"], r["running"]) for r in running.so_far(df, "g", ["k"], "v", block_rows).collect()}
+    want = {}
+    for g, k, _ in rows:
+        own = [(j, v or 0) for h, j, v in rows if h == g]
+        want[k] = (sum(j <= k for j, _ in own), len(own), sum(v for j, v in own if j <= k))
+    assert got == want
+    assert running.so_far(df.limit(0), "g", ["k"], block_rows=block_rows).isEmpty()
+
+
+def test_containment_of_many_bits(spark):
+    """Queries of more bits than a key is made of, among items that share most of them."""
+    rng = np.random.default_rng(9)
+    longs = [int(np.array(sum(1 << int(b) for b in rng.choice(64, n, replace=False)), np.uint64).view(np.int64)) for n in (12, 30, 50) for _ in range(4)]
+    stock = [(k, m | longs[(k + 1) % 12], 1 + k % 3) for k, m in enumerate(longs)] + [(100 + k, m, 2) for k, m in enumerate(longs)]
+    asked = [(k, m, 2) for k, m in enumerate(longs)]
+    got = {tuple(r) for r in screen.screened(spark.createDataFrame(asked, "query_id long, mask long, n long"), spark.createDataFrame(stock, "bb_id long, mask long, n long")).collect()}
+    assert got == {(q, b) for q, m, n in asked for b, s, size in stock if s & m == m and size >= n}
