@@ -380,7 +380,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """
     found = written(likely_links(written(shingle_sets(docs, False), "wide")).distinct(), "likely")
     nodes = found.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.join(nodes, "doc_id", "left_semi"), True), "shingles").dropDuplicates(["doc_id"])
+    # Written without repeated ids, so that joins deal it out by themselves and links of a hot document can be split.
+    sets = written(shingle_sets(docs.join(nodes, "doc_id", "left_semi"), True).dropDuplicates(["doc_id"]), "shingles")
     verified = written(similar(found, sets), "similar")
     left = links_left(found, verified, sets)
     groups = connected_components(verified if left is None else verified.unionAll(written(left, "left")))
