@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: In the order of their numbers.
-MODULES = ("mixing", "warc", "language_id", "quality_rules", "lm_scoring", "simhash", "sharding", "exact_dedup", "segmentation", "token_counts", "divergence", "merkle")
+MODULES = ("mixing", "warc", "language_id", "quality_rules", "lm_scoring", "simhash", "sharding", "exact_dedup", "segmentation", "token_counts", "secrets", "divergence", "merkle")
 
 
 def load() -> tuple[dict, dict]:

@@ -51,9 +51,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(10^9 (n + 2) / (total + 2 terms)) as a long, in whole numbers of any size."""
+    """1 + floor(10^9 (n + 2) / (total + 2 terms)) as a long, in whole numbers of any size; null without terms."""
     whole = lambda c, digits=20: c.cast(f"decimal({digits},0)")
-    part = F.call_function("div", whole(F.lit(SCALE), 10) * whole(n + 2), whole(total + 2 * terms))
+    part = F.call_function("div", whole(F.lit(SCALE), 10) * whole(n + 2), F.nullif(whole(total + 2 * terms), whole(F.lit(0))))
     return (part + 1).cast("long")
 
 
