@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ DUMMY = r"\[\d*\*\]"
 ATOM = r"\[[^\]]*\]|Br|Cl|[BCNOPSFIbcnops*]"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once a row, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at its ends."""
     return F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")
