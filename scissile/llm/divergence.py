@@ -24,30 +24,69 @@ a document of its own; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import removed, table, written
+from .common import arrow_rows, table, written
 
-#: Characters that are no part of a term: ASCII other than letters.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of a term: small letters, capital ones as small, and all beyond ASCII.
+_LETTERS = bytes(k + 32 if 0x41 <= k <= 0x5A else k if 0x61 <= k <= 0x7A or k > 0x7F else 0x20 for k in range(256))
+#: Terms and groups that a task counts before it gives them on.
+HELD = 400_000
 LEAST_DOCS = 10
 RANKS = 10
 SCALE = 1_000_000_000
 _GROUP = ["lang", "source"]
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of each term of a group.
-
-    A document gives each occurrence and each distinct term once; they are summed
-    before the shuffle, so a task sends a row a term and group at most.
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences and documents of the terms of (lang, source, text), a row a term and group for every ``HELD`` of these."""
+    # Occurrences in the upper bits, documents in the lower ones.
+    held: dict[tuple, dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
+    n = 0
+    for b in batches:
+        for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            own = held[lang, source]
+            n -= len(own)
+            for term, times in Counter(text.as_py().translate(_LETTERS).split()).items():
+                own[term] += (times << 32) + 1
+            n += len(own)
+            if n > HELD:
+                yield from _given(held)
+                held.clear()
+                n = 0
+    yield from _given(held)
+
+
+def _given(held: dict[tuple, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+    for (lang, source), own in held.items():
+        for k in range(0, len(own), 20_000):
+            part = dict(islice(own.items(), k, k + 20_000))
+            both = np.fromiter(part.values(), np.int64, len(part))
+            columns = [pa.repeat(lang, len(part)), pa.repeat(source, len(part)), pa.array(part, pa.binary()).cast(pa.string()), pa.array(both >> 32), pa.array(both & 0xFFFFFFFF)]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+
+
+def shared_terms(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(lang, source, term, n, lang_n): occurrences in a group and in its language, of the terms in at least so many documents of the language.
+
+    On the bytes of UTF-8 a term is a run of letters and of all bytes beyond ASCII;
+    everything else becomes a space. Tasks count what they read; their counts are
+    dealt out once, by language and term, and summed there by group and by language.
+    A term of all documents brings a row a task and group.
     """
-    text = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    named = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in _GROUP], F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("terms"))
-    once = lambda c, n, d: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(d).cast("long").alias("docs")))
-    each = named.select(*_GROUP, F.explode(F.concat(once(F.col("terms"), 1, 0), once(F.array_distinct("terms"), 0, 1))).alias("x"))
-    return each.groupBy(*_GROUP, F.col("x.term").alias("term")).agg(F.sum("x.n").alias("n"), F.sum("x.docs").alias("docs"))
+    named = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in _GROUP], F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    counts = named.mapInArrow(_counted, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
+    own = counts.groupBy(*_GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    language = Window.partitionBy("lang", "term")
+    known = own.select(*_GROUP, "term", "n", F.sum("n").over(language).alias("lang_n"), F.sum("docs").over(language).alias("docs"))
+    return known.where(F.col("docs") >= least_docs).drop("docs")
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -62,23 +101,13 @@ def gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def kept_terms(counts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(lang, term, lang_n) of the terms in at least so many documents of a language."""
-    return counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
-
-
 def groups(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(lang, source, v, n_lang, n_group, n_kinds) of every group; ``shared`` has (lang, source, term, n, lang_n) of kept terms."""
-    own = shared.groupBy(*_GROUP).agg(F.sum("n").alias("n_group"), F.count("*").alias("n_kinds"))
+    """(lang, source, n_group, n_kinds, v, n_lang) of every group: its terms and their occurrences, the language's kept terms and their occurrences."""
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    own = shared.groupBy(*_GROUP).agg(F.sum("n").alias("n_group"), F.count("*").alias("n_kinds"))
+    whole = shared.groupBy("lang", "term").agg(F.max("lang_n").alias("lang_n")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("n_lang"))
     every = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in _GROUP]).distinct()
-    return every.join(own, _GROUP, "left").select(*_GROUP, zero("n_group"), zero("n_kinds"))
-
-
-def with_language(groups_: DataFrame, kept: DataFrame) -> DataFrame:
-    whole = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("n_lang"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return groups_.join(whole, "lang", "left").select(*_GROUP, "n_group", "n_kinds", zero("v"), zero("n_lang"))
+    return every.join(own, _GROUP, "left").join(whole, "lang", "left").select(*_GROUP, *map(zero, ("n_group", "n_kinds", "v", "n_lang")))
 
 
 def terms(shared: DataFrame, totals: DataFrame, ranks: int = RANKS) -> DataFrame:
@@ -128,11 +157,9 @@ def pairs(shared: DataFrame, totals: DataFrame) -> DataFrame:
 
 def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = RANKS) -> DataFrame:
     """(lang, source, part, item, value, rank): other sources (``pair``) and terms (``term``) of every group."""
-    counts = written(term_counts(docs), "term-counts")
-    kept = written(kept_terms(counts, least_docs), "kept-terms")
-    shared = written(counts.join(kept, ["lang", "term"]).select(*_GROUP, "term", "n", "lang_n"), "shared-terms")
-    removed(counts)
-    totals = written(with_language(groups(docs, shared), kept), "group-totals")
+    with arrow_rows(docs.sparkSession, 500):
+        shared = written(shared_terms(docs, least_docs), "shared-terms")
+    totals = written(groups(docs, shared), "group-totals")
     part = lambda df, name: df.select(*_GROUP, F.lit(name).alias("part"), "item", "value", "rank")
     return part(pairs(shared, totals), "pair").unionAll(part(terms(shared, totals, ranks), "term"))
 
