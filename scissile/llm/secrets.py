@@ -174,7 +174,8 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY, least_uses: int = LEAST_
     """The commonest words of all texts, ``size`` at most: letters that stand alone, small but for the first."""
     alone = F.lit(rf"(?<![A-Za-z0-9+/_=.-])[A-Za-z][a-z]{{2,{LONGEST_WORD - 1}}}(?![A-Za-z0-9+/_=-])")
     words = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), alone, F.lit(0))).alias("w"))
-    counts = words.groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n")).where(F.col("n") >= least_uses)
+    # Written first: what is left of the words is a few files, and as few tasks send their first ones to the driver.
+    counts = written(words.groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("n")).where(F.col("n") >= least_uses), "words")
     return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(size).collect()]
 
 
