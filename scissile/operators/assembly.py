@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import bit
+from ..functions.bits import NARROW, Bits
 from ..tables import removed, stored
 from .combs import reached
 
@@ -45,13 +45,13 @@ def cuts(bonds: DataFrame, placed: DataFrame) -> DataFrame:
     return bonds.where("cut").join(end("a1", "u"), ["target_id", "a1"]).join(end("a2", "v"), ["target_id", "a2"]).select("target_id", "bond_seq", "a1", "a2", "u", "v")
 
 
-def broken(combs: DataFrame, cuts_: DataFrame) -> DataFrame:
+def broken(combs: DataFrame, cuts_: DataFrame, bits: Bits = NARROW) -> DataFrame:
     """(target_id, mask, bond_seq, a1, a2, u, v): the cuts that stay when a comb is put together: all but those between two of its fragments."""
-    inside = lambda f: F.col("mask").bitwiseAND(bit(F.col(f))) != 0
+    inside = lambda f: bits.has(F.col("mask"), F.col(f))
     return combs.select("target_id", "mask").distinct().join(cuts_, "target_id").where(~(inside("u") & inside("v")))
 
 
-def assembled(combs: DataFrame, placed: DataFrame, cuts_: DataFrame) -> DataFrame:
+def assembled(combs: DataFrame, placed: DataFrame, cuts_: DataFrame, bits: Bits = NARROW) -> DataFrame:
     """(target_id, mask, atoms, ends): what a comb is once only the cuts inside it are closed.
 
     ``atoms`` are those of the piece that holds the first atom of the comb's
@@ -60,8 +60,8 @@ def assembled(combs: DataFrame, placed: DataFrame, cuts_: DataFrame) -> DataFram
     ascending. Fragments that are no part of the target add nothing; a comb
     without any fragment has no row.
     """
-    pieces = stored(reached(combs.select("target_id", "mask").distinct(), cuts_).where("mask <> 0"), "pieces")
-    holds = lambda f: F.col("reached").bitwiseAND(bit(F.col(f))) != 0
+    pieces = stored(reached(combs.select("target_id", "mask").distinct(), cuts_, bits).where(F.col("mask") != bits.zero()), "pieces")
+    holds = lambda f: bits.has(F.col("reached"), F.col(f))
     inner = pieces.join(placed, "target_id").where(holds("frag_id")).groupBy("target_id", "mask").agg(F.sort_array(F.collect_list("atom")).alias("atoms"))
     open_ = pieces.join(cuts_, "target_id").where(holds("u") != holds("v")).select("target_id", "mask", F.when(holds("u"), F.col("a1")).otherwise(F.col("a2")).alias("end"))
     ends = open_.groupBy("target_id", "mask").agg(F.sort_array(F.collect_list("end")).alias("ends"))

@@ -249,7 +249,8 @@ def solutions_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_WAYS + f"select target_id, solution_no, {_SQL_TEXT} as combs from sols where n_parts = 3")
 def solutions_by_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Solutions of three combs, under the numbers that they have among all."""
-    return cover.with_parts(_solutions(spark, sf_dir), 3).select("target_id", F.col("solution_no").cast("long").alias("solution_no"), _as_text(F.col("combs")).alias("combs"))
+    valid, sizes, _ = _valid(spark, sf_dir)
+    return cover.CoverIndex(valid, sizes).covers(parts=3).select("target_id", F.col("solution_no").cast("long").alias("solution_no"), _as_text(F.col("combs")).alias("combs"))
 
 
 _SOLVED = (
@@ -349,7 +350,7 @@ select target_id, solution_no, to_json(comb) as comb, bb_id, item_no, n_items, (
 def solution_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items for the combs of three lines or more in the first solution of each order, in pages by size."""
     valid, sizes, judged = _valid(spark, sf_dir)
-    first = stored(cover.capped(cover.numbered(cover.solutions(valid, sizes)), 1), "first")
+    first = stored(cover.CoverIndex(valid, sizes).covers(1, 1), "first")
     combs_ = first.select("target_id", F.explode("combs").alias("comb")).where(F.size("comb") >= 3)
     found = combs_.join(judged.select("target_id", members(F.col("mask")).alias("comb"), "fp", "n"), ["target_id", "comb"])
     stock = stored(orders.stock(spark, sf_dir), "stock")
