@@ -14,8 +14,9 @@ checked against the total length and freed of the chunked framing.
 Defined cases: a null html is an empty payload; a null page_id is a page of its
 own; of repeated rows one is the response and the others revisit it; an empty
 table gives no rows; extra columns are ignored; a record whose segments are
-missing or do not add up, or whose framing or digest is wrong, is read back
-with ``problem`` set and a null payload; a revisit whose response is lost or
+missing or do not add up, whose framing or digest is wrong, or that is itself cut off or
+without length, type or end of its header, is read back with ``problem`` set
+and a null payload, and the others of its file are read; a revisit whose response is lost or
 broken stays, with ``problem`` set and a null size.
 """
 
@@ -38,7 +39,7 @@ END = "\r\n\r\n"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 #: Of a payload that an earlier record has.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS = "record_id string, type string, origin_id string, segment int, total_length long, refers_to string, page_id long, payload_digest string, block binary"
+RECORDS = "record_id string, type string, origin_id string, segment int, total_length long, refers_to string, page_id long, payload_digest string, block binary, problem string"
 
 
 def base32_sha1(data: bytes) -> str:
@@ -140,27 +141,49 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0, segm
         records.write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """Records of one archive, by their declared lengths; a file may hold several gzip members."""
-    if data[:2] == b"\x1f\x8b":
-        plain = []
-        while data:
-            d = zlib.decompressobj(31)
+def unpacked(data: bytes) -> bytes:
+    """The bytes of a file of gzip members, up to where they break off; other files as they are."""
+    plain = []
+    while data[:2] == b"\x1f\x8b":
+        d = zlib.decompressobj(31)
+        try:
             plain.append(d.decompress(data))
-            data = d.unused_data
-        data = b"".join(plain)
-    at = 0
+        except zlib.error:
+            break
+        data = d.unused_data
+    return b"".join(plain) if plain else data
+
+
+def parse(data: bytes) -> Iterator[dict]:
+    """Records of one archive, by their declared lengths; a file may hold several gzip members.
+
+    A record that cannot be read has a ``problem``: after one without a length the next
+    one that begins behind an empty line is looked for, and nothing comes after one
+    whose header does not end.
+    """
+    data, at = unpacked(data), 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        f = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode().split("\r\n")[1:])}
-        n = int(f["content-length"])
+        end = data.find(b"\r\n\r\n", at)
+        lines = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").split("\r\n")[1:]
+        f = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         bare = lambda k: f[k].strip("<>") if k in f else None
-        whole = lambda k: int(f[k]) if f.get(k) else None
+        whole = lambda k: int(f[k]) if re.fullmatch(r"-?[0-9]{1,18}", f.get(k, "")) else None
+        n = whole("content-length")
+        block = data[end + 4 : end + 4 + n] if end >= 0 and n is not None and n >= 0 else b""
+        problem = "no end of header" if end < 0 else "no length" if n is None or n < 0 else "no type" if "warc-type" not in f else "cut off" if len(block) < n else None
+        segment = whole("warc-segment-number")
         yield {
-            "record_id": bare("warc-record-id"), "type": f["warc-type"], "origin_id": bare("warc-segment-origin-id"), "segment": whole("warc-segment-number"), "total_length": whole("warc-segment-total-length"),
-            "refers_to": bare("warc-refers-to"), "page_id": whole("x-page-id"), "payload_digest": re.sub("^sha1:", "", f.get("warc-payload-digest", "")) or None, "block": data[end + 4 : end + 4 + n],
+            "record_id": bare("warc-record-id"), "type": f.get("warc-type", ""), "origin_id": bare("warc-segment-origin-id"), "segment": segment if segment is None or abs(segment) < 1 << 31 else None, "total_length": whole("warc-segment-total-length"),
+            "refers_to": bare("warc-refers-to"), "page_id": whole("x-page-id"), "payload_digest": re.sub("^sha1:", "", f.get("warc-payload-digest", "")) or None, "block": block, "problem": problem,
         }
-        at = end + 4 + n
+        if end < 0:
+            return
+        if problem == "no length":
+            at = data.find(b"\r\n\r\nWARC/1.", end)
+            if at < 0:
+                return
+        else:
+            at = end + 4 + n
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -171,7 +194,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
-        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
         schema = pa.schema(list(zip(names, kinds, strict=True)))
         for b in batches:
             for content in b.column(0):
@@ -193,15 +216,15 @@ def reassembled(records: DataFrame) -> DataFrame:
     identifier; a group is the segments of one record.
     """
     names = ["record_id", "page_id", "type", "refers_to", "payload_digest"]
-    alone = records.where("segment is null and origin_id is null").select(*names, F.array("block").alias("blocks"), F.lit(None).cast("string").alias("problem"))
+    alone = records.where("segment is null and origin_id is null").select(*names, F.array("block").alias("blocks"), "problem")
     parts = records.where("segment is not null or origin_id is not null")
     only = lambda c: F.max(F.when(F.col("origin_id").isNull(), F.col(c)))
     joined = parts.groupBy(F.coalesce("origin_id", "record_id").alias("record_id")).agg(
-        *[only(c).alias(c) for c in names[1:]], F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("s"), F.max("total_length").alias("total")
+        *[only(c).alias(c) for c in names[1:]], F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("s"), F.max("total_length").alias("total"), F.max("problem").alias("broken")
     )
     length = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["block"]))
     gapless = F.forall(F.transform("s", lambda x, k: x["segment"] == k + 1), lambda x: x)
-    checked = joined.withColumn("problem", F.when(F.col("type").isNull(), "no first segment").when(~gapless, "segment missing").when(~length.eqNullSafe(F.col("total")), "total length"))
+    checked = joined.withColumn("problem", F.when(F.col("broken").isNotNull(), F.col("broken")).when(F.col("type").isNull(), "no first segment").when(~gapless, "segment missing").when(~length.eqNullSafe(F.col("total")), "total length"))
     return alone.unionByName(checked.select(*names, F.col("s.block").alias("blocks"), "problem"))
 
 
