@@ -96,8 +96,9 @@ def lowest_set(mask: Column) -> Column:
 
 
 def members(mask: Column, size: int = 63) -> Column:
-    """Numbers of the set bits, ascending: a comb from its mask."""
-    return F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: mask.bitwiseAND(bit(k)) != 0)
+    """Numbers of the set bits, ascending: a comb from its mask. None beyond the highest is tried."""
+    highest = F.least(F.length(F.bin(mask)), F.lit(size)) - 1
+    return F.filter(F.sequence(F.lit(0), highest), lambda k: mask.bitwiseAND(bit(k)) != 0)
 
 
 def mask_of(comb: Column) -> Column:

@@ -161,10 +161,9 @@ def fragment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def connected_combs_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All connected combs of one to four fragments."""
     frags = stored(orders.fragments(spark, sf_dir), "fragments")
-    both, now, out = combs.both_ways(orders.edges(frags)), combs.singles(frags), None
-    for k in range(1, 5):
-        now = now if k == 1 else combs.extended(now, both)
-        rows = now.select("target_id", F.to_json(members(F.col("mask"))).alias("comb"), F.lit(k).cast("long").alias("stage"))
+    out = None
+    for k, level in enumerate(combs.connected_levels(frags, orders.edges(frags), 4), 1):
+        rows = level.select("target_id", F.to_json(members(F.col("mask"))).alias("comb"), F.lit(k).cast("long").alias("stage"))
         out = rows if out is None else out.unionAll(rows)
     return out
 
@@ -361,6 +360,20 @@ def solution_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.withColumn("comb", F.to_json("comb")).withColumn("solution_no", F.col("solution_no").cast("long"))
 
 
+@query(_WAYS + """,
+shown as (select target_id, solution_no, generate_subscripts(combs, 1) as pos, unnest(combs) as comb from sols where solution_no in (1, 2)),
+said as (select target_id, solution_no, pos, string_agg('b' || b, '.' order by f) as text from shown join frag using (target_id) where list_contains(comb, f) group by target_id, solution_no, pos)
+select target_id, solution_no, string_agg(text, ' ' order by pos) as texts from said group by target_id, solution_no""")
+def solution_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two solutions of each order as the texts of their combs, in their order."""
+    valid, sizes, _ = _valid(spark, sf_dir)
+    first = stored(cover.CoverIndex(valid, sizes).covers(1, 2), "first")
+    frags = orders.fragments(spark, sf_dir).select("target_id", F.col("frag_id").alias("f"), F.concat(F.lit("b"), lowest_set(F.col("fp")).cast("string")).alias("b"))
+    each = first.select("target_id", F.explode("combs").alias("comb")).distinct().select("target_id", "comb", F.explode("comb").alias("f")).join(frags, ["target_id", "f"])
+    named = each.groupBy("target_id", "comb").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("f", "b"))), lambda x: x["b"]), ".").alias("smiles"))
+    return cover.solution_smiles(first, named).select("target_id", "solution_no", F.array_join("smiles", " ").alias("texts"))
+
+
 @query("""
 with a as (select distinct l_partkey as k from lineitem where l_returnflag = 'R'), b as (select distinct l_partkey as k from lineitem where l_linestatus = 'O')
 select 'both' as kind, k from (from a intersect from b) union all select 'first only', k from (from a except from b) union all select 'any', k from (from a union from b)""")

@@ -19,17 +19,17 @@ def read_lines(spark: SparkSession, path: str, column: str = "smiles") -> DataFr
 def with_ids(df: DataFrame, key: str = "bb_id") -> DataFrame:
     """``df`` with a lasting number from 0: a row's identity in a stock, in the order of the rows.
 
-    Rows are numbered within their partition in the order they lie there; the
-    counts of the partitions before, a row a partition, are added.
+    Rows of files count by the file's path, then by their place in it, however
+    Spark deals the files out; other rows by partition and place. A part of a file that is read at
+    once is numbered by itself, and the counts of the parts before, a row a part, are added.
     """
-    at = F.monotonically_increasing_id()  # the partition, and 33 bits for the row
-    rows = stored(df.withColumn(key, at), "numbered")
-    part = F.shiftright(F.col(key), 33)
-    counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    number = F.col("before") + F.col(key).bitwiseAND(F.lit((1 << 33) - 1))
-    return rows.withColumn("part", part).join(F.broadcast(offsets), "part").select(number.alias(key), *df.columns)
+    at = {"__file": F.input_file_name(), "__start": F.input_file_block_start(), "__at": F.monotonically_increasing_id()}
+    rows = stored(df.withColumns(at).withColumn("__part", F.shiftright("__at", 33)), "numbered")
+    split = ["__file", "__start", "__part"]
+    counts = rows.groupBy(*split).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*split, (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__add"))
+    return rows.join(offsets, split).select((F.col("__at") + F.col("__add")).alias(key), *[F.col(c) for c in df.columns])
 
 
 def read_smiles_json(spark: SparkSession, path: str) -> DataFrame:

@@ -289,3 +289,26 @@ def test_containment_of_many_bits(spark):
     asked = [(k, m, 2) for k, m in enumerate(longs)]
     got = {tuple(r) for r in screen.screened(spark.createDataFrame(asked, "query_id long, mask long, n long"), spark.createDataFrame(stock, "bb_id long, mask long, n long")).collect()}
     assert got == {(q, b) for q, m, n in asked for b, s, size in stock if s & m == m and size >= n}
+
+
+def test_numbers_follow_files(spark, tmp_path):
+    """A small file beside a larger one: numbers go by the file's name, then by the line."""
+    (tmp_path / "a.txt").write_text("".join(f"a{k}\n" for k in range(5)))
+    (tmp_path / "b.txt").write_text("".join(f"b{k}\n" for k in range(30_000)))
+    (tmp_path / "c.txt").write_text("c0")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 40_000)
+    try:
+        got = sources.with_ids(sources.read_lines(spark, str(tmp_path))).orderBy("bb_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.bb_id for r in got] == list(range(30_006))
+    assert [r.smiles for r in got] == [f"a{k}" for k in range(5)] + [f"b{k}" for k in range(30_000)] + ["c0"]
+
+
+def test_queries_without_bits_form_no_product(spark):
+    stock = spark.createDataFrame([(0, 1, 2), (5, 3, 1), (2, 2, 4)], "mask long, n long, weight long")
+    asked = spark.createDataFrame([(0, 1), (0, 3), (0, 4)], "mask long, n long")
+    found = screen.containment_join(asked, stock)
+    assert {(r.n, r.s_mask) for r in found.collect()} == {(1, 0), (1, 5), (1, 2), (3, 5)}
+    assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
