@@ -52,7 +52,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.select("target_id", F.concat(F.array_join(F.col("x.x"), ""), misspelt).alias("smiles"))
 
 
-@query("with " + _TABLES + " select t as target_id, atom, symbol, h as hydrogens, degree, n_ring_bonds from atom")
+@query("with " + _TABLES + " select t as target_id, atom, symbol, cast(h as bigint) as hydrogens, degree, n_ring_bonds from atom")
 def molecule_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Atoms read from the texts of the orders, with their hydrogens, bonds and bonds in rings."""
     long = ["atom", "hydrogens", "degree", "n_ring_bonds"]

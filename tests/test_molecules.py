@@ -274,3 +274,19 @@ def test_strict_matches_of_random_graphs(spark):
     want = {(q, s) for q, a in enumerate(queries) for s, b in enumerate(items) if matches(a, b)}
     got = {tuple(r) for r in graphs.strict_matches(graphs.signature_pairs(asked, stock), asked, stock).collect()}
     assert got == want and 20 < len(want) < 900
+
+
+@pytest.mark.parametrize("name", ["molecule_atoms", "molecule_rejects", "rule_cuts", "canonical_classes", "strict_matches"])
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    from scissile.plans import structures
+
+    small = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from '{small}/lineitem.parquet'")
+    got = structures.QUERIES[name](spark, small).toPandas()
+    want = c.execute(structures.ORACLE[name]).df()
+    cols = sorted(want.columns)
+    rows = lambda d: sorted(map(tuple, d[cols].astype(str).values))
+    assert len(got) and sorted(got.columns) == cols and rows(got) == rows(want)
