@@ -112,6 +112,11 @@ class Rules(NamedTuple):
     pairs: list[tuple[str, str, str, list[bool]]]
 
 
+def family(a: str, b: str) -> str:
+    """The group of a pair of environments; molecules are cut by a group after another where pieces are cut again."""
+    return next((x for x in ("14b", "16b") if x in (a, b)), a)
+
+
 def _pairs(text: str) -> list[tuple[str, str, str, list[bool]]]:
     parts = [p.split(":") for p in text.split()]
     return [(p[0], p[1], *_KINDS[p[2] if len(p) > 2 else ""]) for p in parts]
@@ -178,20 +183,25 @@ def environments(mols: Molecules, rules: Rules) -> DataFrame:
     return whole.select("target_id", "atom", total.alias("envs")).where("envs <> 0")
 
 
+def fitting_rules(mols: Molecules, rules: Rules) -> DataFrame:
+    """(target_id, bond_seq, a1, a2, kind, ring, rule, label1, label2, family): every rule that a bond meets, whichever way round."""
+    at = {e.label: k for k, e in enumerate(rules.environments)}
+    rows = [(k, at[a], at[b], kind, ring, _NUMBER.sub("", a), _NUMBER.sub("", b), family(a, b)) for k, (a, b, kind, rings) in enumerate(rules.pairs) for ring in rings]
+    asked = mols.bonds.sparkSession.createDataFrame(rows, "rule int, env1 int, env2 int, kind string, ring boolean, label1 string, label2 string, family string")
+    envs = stored(environments(mols, rules).select("target_id", "atom", F.explode(members(F.col("envs"))).alias("env")), "environments")
+    end = lambda k: envs.select("target_id", F.col("atom").alias(f"a{k}"), F.col("env").alias(f"env{k}"))
+    bonds = mols.bonds.select("target_id", "bond_seq", "a1", "a2", "kind", "ring")
+    ways = bonds.unionAll(bonds.select("target_id", "bond_seq", F.col("a2").alias("a1"), F.col("a1").alias("a2"), "kind", "ring"))
+    return ways.join(end(1), ["target_id", "a1"]).join(end(2), ["target_id", "a2"]).join(F.broadcast(asked), ["env1", "env2", "kind", "ring"])  # a few hundred rules at most
+
+
 def cut_bonds(mols: Molecules, rules: Rules = CLASSIC) -> DataFrame:
     """(target_id, bond_seq, a1, a2, label1, label2, cut_no): bonds that a rule cuts, with the numbers of their ends' environments.
 
     ``cut_no`` counts a target's cuts from 0 by rule, then by the atoms in the order of
     the rule's environments. Where a rule fits both ways round, the lower atom is first.
     """
-    at = {e.label: k for k, e in enumerate(rules.environments)}
-    rows = [(k, at[a], at[b], kind, ring, _NUMBER.sub("", a), _NUMBER.sub("", b)) for k, (a, b, kind, rings) in enumerate(rules.pairs) for ring in rings]
-    asked = mols.bonds.sparkSession.createDataFrame(rows, "rule int, env1 int, env2 int, kind string, ring boolean, label1 string, label2 string")
-    envs = stored(environments(mols, rules).select("target_id", "atom", F.explode(members(F.col("envs"))).alias("env")), "environments")
-    end = lambda k: envs.select("target_id", F.col("atom").alias(f"a{k}"), F.col("env").alias(f"env{k}"))
-    bonds = mols.bonds.select("target_id", "bond_seq", "a1", "a2", "kind", "ring")
-    ways = bonds.unionAll(bonds.select("target_id", "bond_seq", F.col("a2").alias("a1"), F.col("a1").alias("a2"), "kind", "ring"))
-    fits = ways.join(end(1), ["target_id", "a1"]).join(end(2), ["target_id", "a2"]).join(F.broadcast(asked), ["env1", "env2", "kind", "ring"])  # a few hundred rules at most
+    fits = fitting_rules(mols, rules)
     best = fits.groupBy("target_id", "bond_seq").agg(F.min(F.struct("rule", "a1", "a2", "label1", "label2")).alias("b"))
     number = F.row_number().over(Window.partitionBy("target_id").orderBy("b")) - 1
     return best.select("target_id", "bond_seq", "b.a1", "b.a2", "b.label1", "b.label2", number.alias("cut_no"))
