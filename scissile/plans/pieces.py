@@ -53,12 +53,12 @@ def recursive_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("with " + _SEGMENTS + """,
-both as (select distinct t, l, body, r from piece where leaf union select distinct t, r, reverse(body), l from piece where leaf),
+way as (select distinct t, l, body, r from piece where leaf union select distinct t, r, reverse(body), l from piece where leaf),
 fit as (select unnest(['3', '4', '4', '4', '5', '11']) as x, unnest(['4', '3', '5', '11', '4', '4']) as y),
-one as (select distinct a.t, a.l, a.body || b.body as body, b.r from both a join fit on a.r = x join both b on b.t = a.t and b.l = y),
+one as (select distinct a.t, a.l, a.body || b.body as body, b.r from way a join fit on a.r = x join way b on b.t = a.t and b.l = y),
 form1 as (select distinct t, least(l || ':' || body || ':' || r, r || ':' || reverse(body) || ':' || l) as form, l = '' and r = '' as complete from one),
 turned as (select t, l, body, r from one union select t, r, reverse(body), l from one),
-two as (select distinct a.t, a.l, a.body || b.body as body, b.r from turned a join fit on a.r = x join both b on b.t = a.t and b.l = y),
+two as (select distinct a.t, a.l, a.body || b.body as body, b.r from turned a join fit on a.r = x join way b on b.t = a.t and b.l = y),
 form2 as (select distinct t, least(l || ':' || body || ':' || r, r || ':' || reverse(body) || ':' || l) as form, l = '' and r = '' as complete from two anti join form1 f
           on f.t = two.t and f.form = least(l || ':' || body || ':' || r, r || ':' || reverse(body) || ':' || l)),
 every_ as (select *, 0 as depth from form1 union all select *, 1 from form2)
