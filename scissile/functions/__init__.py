@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 DUMMY = r"\[\d*\*\]"
 #: Atoms of a SMILES: in brackets, or of the organic subset.
@@ -74,6 +75,26 @@ def contains_words(whole: list[Column], part: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, [contains(w, p) for w, p in zip(whole, part, strict=True)])
 
 
+def is_wide(df: DataFrame, column: str) -> bool:
+    """Whether a column has fingerprints as arrays of longs, all of one length, and not as one long."""
+    return isinstance(df.schema[column].dataType, ArrayType)
+
+
+def holds(whole: Column, part: Column, wide: bool) -> Column:
+    """``contains`` for a long or, if ``wide``, an array of longs."""
+    return F.forall(F.zip_with(whole, part, contains), lambda x: x) if wide else contains(whole, part)
+
+
+def together(a: Column, b: Column, wide: bool) -> Column:
+    """The bits of two fingerprints."""
+    return F.zip_with(a, b, lambda x, y: x.bitwiseOR(y)) if wide else a.bitwiseOR(b)
+
+
+def bits_of(mask: Column, wide: bool) -> Column:
+    """Numbers of all 64 bits of each long that are set."""
+    return F.flatten(F.transform(mask, lambda w, k: F.transform(members(w, 64), lambda b: b + k * 64))) if wide else members(mask, 64)
+
+
 def fingerprint_words(on_bits: Column, size: int = 2048) -> list[Column]:
     """A fingerprint's on-bits as longs; bits at or above ``size`` are an error of the stock."""
     word = lambda k: F.aggregate(F.filter(on_bits, lambda b: F.floor(b / 64) == k), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))))

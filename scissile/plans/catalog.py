@@ -12,6 +12,7 @@ from ..operators import assembly, combs, cover, running, screen
 from ..tables import stored, table
 from . import orders
 from .disassembly import stage_counts as count_stages
+from .disassembly import stage_tests as count_tests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,25 +26,33 @@ def query(sql: str) -> Callable:
     return add
 
 
-#: Fragments, stock, and for every run of lines of an order how many orders hold it.
-_FRAG = f"""
+def _frag_sql(bits: int, kind: str) -> str:
+    """Fragments and stock, with fingerprints of so many bits."""
+    return f"""
 frag as (select l_orderkey as target_id, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as bigint) as f,
-                cast(l_partkey % {orders.BITS} as int) as b from lineitem),
+                cast(l_partkey % {bits} as int) as b from lineitem),
 nf as (select target_id, count(*) as n from frag group by target_id),
-stock as (select target_id as bb_id, bit_or(cast(1 as bigint) << b) as mask, count(*) as n from frag group by target_id)"""
-_RUNS = (
-    _FRAG
-    + f""",
-runs as (select a.target_id, a.f as lo, b.f as hi, a.b as first_b, bit_or(cast(1 as bigint) << c.b) as fp, b.f - a.f + 1 as n
+stock as (select target_id as bb_id, bit_or(cast(1 as {kind}) << b) as mask, count(*) as n from frag group by target_id)"""
+
+
+def _runs_sql(bits: int, kind: str) -> str:
+    """The same, and for every run of lines of an order how many orders hold it."""
+    return (
+        _frag_sql(bits, kind)
+        + f""",
+runs as (select a.target_id, a.f as lo, b.f as hi, a.b as first_b, bit_or(cast(1 as {kind}) << c.b) as fp, b.f - a.f + 1 as n
          from frag a join frag b on a.target_id = b.target_id and b.f >= a.f join frag c on c.target_id = a.target_id and c.f between a.f and b.f
          group by a.target_id, a.f, b.f, a.b),
-asked as (select distinct first_b, fp, n from runs where n <= {orders.BITS}),
+asked as (select distinct first_b, fp, n from runs where n <= {bits}),
 items as (select mask, n, count(*) as weight from stock group by mask, n),
-by_bit as (select b, mask, n, weight from items, range({orders.BITS}) r(b) where (mask >> b) & 1 = 1),
+by_bit as (select b, mask, n, weight from items, range({bits}) r(b) where (mask >> b) & 1 = 1),
 held as (select first_b, asked.fp, asked.n, sum(weight) as n_bb from asked join by_bit i on i.b = first_b and i.n >= asked.n and i.mask & asked.fp = asked.fp group by all),
 judged as (select r.target_id, r.lo, r.hi, r.fp, r.n, n_bb, n_bb >= {orders.LEAST} as ok from runs r join held using (first_b, fp, n)),
 valid as (select * from judged where ok)"""
-)
+    )
+
+
+_FRAG, _RUNS = _frag_sql(orders.BITS, "bigint"), _runs_sql(orders.BITS, "bigint")
 _WAYS = (
     "with recursive "
     + _RUNS
@@ -196,14 +205,38 @@ def parent_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.groupBy("target_id", lowest_set(F.col("mask")).cast("long").alias("lo")).agg(F.count("*").alias("n_bb"))
 
 
-@query("with " + _RUNS + """,
-grown as (select r.target_id, r.lo, r.hi, r.n from runs r where r.lo = r.hi or exists (select 1 from valid v where v.target_id = r.target_id and ((v.lo = r.lo and v.hi = r.hi - 1) or (v.lo = r.lo + 1 and v.hi = r.hi))))
-select target_id, n as stage, count(v.n_bb) as n_valid, count(*) - count(v.n_bb) as n_invalid from grown g left join valid v using (target_id, lo, hi, n) group by target_id, n""")
+_STAGES = """,
+grown as (select r.target_id, r.lo, r.hi, r.n from runs r where r.lo = r.hi or exists (select 1 from valid v where v.target_id = r.target_id and ((v.lo = r.lo and v.hi = r.hi - 1) or (v.lo = r.lo + 1 and v.hi = r.hi)))),
+stopped as (select distinct g.target_id from grown g left join valid v using (target_id, lo, hi, n) where n = 1 and v.n_bb is null)
+select target_id, n as stage, count(v.n_bb) as n_valid, count(*) - count(v.n_bb) as n_invalid from grown g left join valid v using (target_id, lo, hi, n)
+where n = 1 or target_id not in (select target_id from stopped) group by target_id, n"""
+
+
+@query("with " + _RUNS + _STAGES)
 def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid and invalid combs of each order and stage of the stage loop."""
     return count_stages(orders.judged(spark, sf_dir)).withColumn("stage", F.col("stage").cast("long"))
 
 
+@query("with " + _runs_sql(orders.WIDE_BITS, "hugeint") + _STAGES)
+def stage_counts_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with fingerprints of several longs."""
+    return count_stages(orders.judged(spark, sf_dir, wide=True)).withColumn("stage", F.col("stage").cast("long"))
+
+
+@query("with " + _RUNS + """,
+stopped as (select distinct r.target_id from runs r left join valid v using (target_id, lo, hi) where r.n = 1 and v.n_bb is null),
+effective as (select r.n, r.fp, min(r.first_b) as first_b from runs r join valid a on a.target_id = r.target_id and a.lo = r.lo and a.hi = r.hi - 1 join valid b on b.target_id = r.target_id and b.lo = r.lo + 1 and b.hi = r.hi
+              where r.target_id not in (select target_id from stopped) group by r.n, r.fp)
+select stage, count(*) as n_asked, cast(sum(n_tested) as bigint) as n_tested, cast(sum(n_bb) as bigint) as n_bb
+from (select e.n as stage, e.fp, sum(case when i.mask is not null then weight else 0 end) as n_tested, sum(case when i.n >= e.n then weight else 0 end) as n_bb
+      from effective e left join by_bit i on i.b = e.first_b and i.n >= e.n - 1 and i.mask & e.fp = e.fp group by e.n, e.fp)
+group by stage""")
+def stage_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many orders each stage tests, those that all parts of a run share, and how many hold the runs."""
+    return count_tests(orders.judged(spark, sf_dir)).withColumn("stage", F.col("stage").cast("long"))
+
+
 @query("with " + _FRAG + """, k as (select target_id, b, min(f) as first_f, count(*) as uses from frag group by target_id, b)
 select f.target_id, f.f as frag_id, k.first_f, k.uses, stock.n from frag f join k using (target_id, b) join stock on stock.bb_id = f.target_id""")
 def memo_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ orders are also the stock: an order is supplied by orders that hold all its bits
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bit
@@ -14,32 +14,44 @@ from ..operators.screen import bit_mask
 from ..tables import stored, table
 
 BITS = 48
+#: Bits of fingerprints of two longs.
+WIDE_BITS = 120
 #: Items that must pass: an order and at least one other.
 LEAST = 2
 
 
-def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(target_id, frag_id, fp)."""
+def _words(line_bit: Column) -> Column:
+    """The fingerprint of one bit, in two longs."""
+    return F.array(*[F.when(F.floor(line_bit / 64) == k, bit(line_bit % 64)).otherwise(F.lit(0).cast("long")) for k in (0, 1)])
+
+
+def fragments(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
+    """(target_id, frag_id, fp); ``wide`` fingerprints are arrays of two longs."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return lines.select(F.col("l_orderkey").alias("target_id"), (F.row_number().over(order) - 1).alias("frag_id"), bit(F.col("l_partkey") % BITS).alias("fp"))
+    fp = _words(F.col("l_partkey") % WIDE_BITS) if wide else bit(F.col("l_partkey") % BITS)
+    return lines.select(F.col("l_orderkey").alias("target_id"), (F.row_number().over(order) - 1).alias("frag_id"), fp.alias("fp"))
 
 
 def edges(frags: DataFrame) -> DataFrame:
     return frags.where("frag_id > 0").select("target_id", (F.col("frag_id") - 1).alias("u"), F.col("frag_id").alias("v"))
 
 
-def stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stock(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     """(bb_id, mask, n)."""
     lines = table(spark, sf_dir, "lineitem")
+    if wide:
+        words = lines.withColumn("words", _words(F.col("l_partkey") % WIDE_BITS))
+        mask = F.array(*[F.bit_or(F.get("words", F.lit(k))) for k in (0, 1)])
+        return words.groupBy(F.col("l_orderkey").alias("bb_id")).agg(mask.alias("mask"), F.count("*").alias("n"))
     return lines.groupBy(F.col("l_orderkey").alias("bb_id")).agg(bit_mask(F.col("l_partkey") % BITS).alias("mask"), F.count("*").alias("n"))
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def judged(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     from .disassembly import disassemble
 
-    frags = stored(fragments(spark, sf_dir), "fragments")
-    return disassemble(frags, edges(frags), stock(spark, sf_dir), LEAST)
+    frags = stored(fragments(spark, sf_dir, wide), "fragments")
+    return disassemble(frags, edges(frags), stock(spark, sf_dir, wide), LEAST)
 
 
 def sizes(frags: DataFrame) -> DataFrame:

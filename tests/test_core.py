@@ -138,7 +138,7 @@ def test_sources(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "u")).count() == 1
 
 
-@pytest.mark.parametrize("name", ["fingerprint_screen", "fragment_edges", "effective_combs", "exact_cover", "comb_assembly", "on_bit_counts"])
+@pytest.mark.parametrize("name", ["fingerprint_screen", "fragment_edges", "effective_combs", "exact_cover", "comb_assembly", "on_bit_counts", "stage_tests", "stage_counts_wide"])
 def test_queries_against_sql(spark, name):
     import duckdb
 
