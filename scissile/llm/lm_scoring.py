@@ -177,7 +177,7 @@ def part_of(words: np.ndarray, parts: int) -> np.ndarray:
 
 def packed(x: np.ndarray, kind: str) -> bytes:
     """Numbers by their bytes' places, the last bytes of all first, which compresses well where they are small or sorted."""
-    return np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return np.ascontiguousarray(x.astype(kind)).view(np.uint8).reshape(len(x), np.dtype(kind).itemsize).T.tobytes()
 
 
 def unpacked(data: bytes | None, kind: str) -> np.ndarray:
@@ -185,6 +185,16 @@ def unpacked(data: bytes | None, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data or b"", np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def packed_counts(x: np.ndarray) -> bytes:
+    """Counts in four bytes each, or in eight where one of them needs more."""
+    return packed(x, "<u8" if len(x) and x.max() >> 32 else "<u4")
+
+
+def unpacked_counts(data: bytes | None, n: int) -> np.ndarray:
+    """``n`` counts, of four or eight bytes as their length tells."""
+    return unpacked(data, "<u8" if n and len(data or b"") == 8 * n else "<u4").astype(np.int64)
+
+
 def word_counts(train: DataFrame, parts: int) -> DataFrame:
     """(part, w, n, bins): the distinct words of each part and how often they occur, and how many words have how many digits' worth of counts."""
 
@@ -375,7 +385,7 @@ def pair_counts(train: DataFrame, own: np.ndarray, parts: int, n_blocks: int) ->
         at = runs_of(key[order])
         cnt = np.add.reduceat(np.concatenate([r[3] for r in rows])[order], at)
         m = np.bincount(key[order][at] >> 16, minlength=len(words))
-        return pa.table({"part": t.column("part")[:1], "w": [packed(words, "<u8")], "m": [packed(m, "<u4")], "ctx": [packed(key[order][at] & 0xFFFF, "<u2")], "cnt": [packed(cnt, "<u4")]})
+        return pa.table({"part": t.column("part")[:1], "w": [packed(words, "<u8")], "m": [packed(m, "<u4")], "ctx": [packed(key[order][at] & 0xFFFF, "<u2")], "cnt": [packed_counts(cnt)]})
 
     rows = train.mapInArrow(run, PAIRS + ", salt int")
     if n_blocks > MERGED:  # few blocks at a time first, so that no task holds all rows of a part
@@ -407,7 +417,7 @@ def _pair_rows(words: np.ndarray, key: np.ndarray, cnt: np.ndarray, parts: int)
 def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, and of each pair: its word's number, context, count)."""
     words, m = unpacked(row["w"], "<u8"), unpacked(row["m"], "<u4")
-    return words, np.repeat(np.arange(len(words)), m), unpacked(row["ctx"], "<u2").astype(np.int64), unpacked(row["cnt"], "<u4").astype(np.int64)
+    return words, np.repeat(np.arange(len(words)), m), unpacked(row["ctx"], "<u2").astype(np.int64), unpacked_counts(row["cnt"], int(m.sum()))
 
 
 @dataclass
@@ -446,10 +456,10 @@ def swept(state: DataFrame, t: Totals, seed: int, keep: bool) -> DataFrame:
                 c = np.bincount(of, tables, n).astype(np.int64)
                 r = draws.draw(c, np.full(n, (STRENGTH + DISCOUNT * t.root[1]) * t.base), rng)
                 old = customers[:-1], seated[:-1]  # the last of them is this sweep's, kept or not
-                kept = unpacked(row["kept"], "<u4") if row["kept"] else np.zeros(len(cnt), np.int64)
+                kept = unpacked_counts(row["kept"], len(cnt)) if row["kept"] else np.zeros(len(cnt), np.int64)
                 if keep:
                     old, kept = (customers[: len(customers) - 1] + [c], seated[: len(seated) - 1] + [r]), kept + tables
-                row |= {"customers": packed(np.concatenate([*old[0], c]), "<u8"), "seated": packed(np.concatenate([*old[1], r]), "<u8"), "kept": packed(kept, "<u4"), "tables": packed(np.bincount(ctx, tables, RESTAURANTS), "<u8"), "root": int(r.sum())}
+                row |= {"customers": packed(np.concatenate([*old[0], c]), "<u8"), "seated": packed(np.concatenate([*old[1], r]), "<u8"), "kept": packed_counts(kept), "tables": packed(np.bincount(ctx, tables, RESTAURANTS), "<u8"), "root": int(r.sum())}
                 yield pa.RecordBatch.from_pylist([row], _SCHEMA)
 
     return state.mapInArrow(run, STATE)
@@ -510,7 +520,7 @@ def fit(train: DataFrame, burn_in: int = 2, samples: int = 3, seed: int = 7, own
         for b in batches:
             for ctx, cnt in zip(b.column(0), b.column(1), strict=True):
                 at = unpacked(ctx.as_py(), "<u2")
-                c += np.bincount(at, unpacked(cnt.as_py(), "<u4"), RESTAURANTS).astype(np.int64)
+                c += np.bincount(at, unpacked_counts(cnt.as_py(), len(at)), RESTAURANTS).astype(np.int64)
                 t += np.bincount(at, minlength=RESTAURANTS)
         yield pa.RecordBatch.from_pydict({"c": [packed(c, "<u8")], "t": [packed(t, "<u8")]})
 
@@ -538,7 +548,7 @@ def probabilities(model: Model, row: dict | None) -> tuple:
     row = row or {}
     words, of, ctx, cnt = _pairs({"w": b"", "m": b"", "ctx": b"", "cnt": b"", **row})
     n = len(words)
-    kept = unpacked(row.get("kept"), "<u4")
+    kept = unpacked_counts(row.get("kept"), len(cnt))
     own = (cnt - DISCOUNT * kept / samples) / (STRENGTH + model.totals[0].C[ctx])
     seats = zip(_arrays(row.get("customers"), n, "<u8") or [np.empty(0)] * samples, _arrays(row.get("seated"), n, "<u8") or [np.empty(0)] * samples, model.totals, strict=False)
     roots = [parent_probability(np.append(c, 0), np.append(r, 0), t.root, t.base) for c, r, t in seats]

@@ -292,6 +292,24 @@ def test_lm_words(monkeypatch):
     assert (lm_scoring.unpacked(lm_scoring.packed(x, "<u8"), "<u8") == x).all() and not len(lm_scoring.unpacked(None, "<u4"))
 
 
+def test_lm_counts_beyond_32_bits(spark):
+    """Counts are exact past 2^32, in parts with and without such ones, through a sweep and in the probabilities."""
+    for x in ([], [7], [1 << 32], [0, (1 << 32) - 1], [3, (1 << 32) + 5, 1 << 40]):
+        assert lm_scoring.unpacked_counts(lm_scoring.packed_counts(np.array(x, np.int64)), len(x)).tolist() == x
+    counts = [3, (1 << 32) + 5]
+    row = {"part": 0, "w": lm_scoring.packed(np.array([9]), "<u8"), "m": lm_scoring.packed(np.array([2]), "<u4"), "ctx": lm_scoring.packed(np.array([0, 1]), "<u2"), "cnt": lm_scoring.packed_counts(np.array(counts))}
+    customers = np.bincount([0, 1], counts, lm_scoring.RESTAURANTS)
+    totals = lm_scoring.Totals(customers, (customers > 0).astype(float), (2.0, 1.0), 0.5)
+    state = spark.createDataFrame([{**row, "customers": None, "seated": None, "kept": None, "tables": None, "root": None}], lm_scoring.STATE)
+    after = lm_scoring.swept(state, totals, 1, True).first().asDict()
+    assert lm_scoring._pairs(after)[3].tolist() == counts
+    kept = lm_scoring.unpacked_counts(after["kept"], 2)
+    assert 1 <= kept[0] <= 3 and 1 < kept[1] <= counts[1]
+    words, n, _, own, _ = lm_scoring.probabilities(lm_scoring.Model(1, np.empty(0, np.uint64), state, sum(counts), 1, [totals], {}), after)
+    assert words.tolist() == [9] and n.tolist() == [sum(counts)]
+    assert np.allclose(own, (np.array(counts) - lm_scoring.DISCOUNT * kept) / (lm_scoring.STRENGTH + np.array(counts)))
+
+
 def test_lm_scoring(spark, docs, empty, texts, monkeypatch):
     monkeypatch.setattr(lm_scoring, "PART_BYTES", 4000)
     data = spark.createDataFrame([(k, prose(k, 60)) for k in range(200)], "doc_id long, text string").unionByName(docs.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 1000))
