@@ -37,6 +37,7 @@ def test_classes(spark):
 #: A query, and the operator that meets its targets first.
 CASES = [
     ("connected_combs_n", combs, "connected_levels"),
+    ("parent_intersection", combs, "singles"),
 ]
 
 
