@@ -38,6 +38,8 @@ def test_classes(spark):
 CASES = [
     ("connected_combs_n", combs, "connected_levels"),
     ("parent_intersection", combs, "singles"),
+    ("initial_fragments", assembly, "fragments"),
+    ("comb_assembly", assembly, "fragments"),
 ]
 
 
