@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import decomposition
+from ..operators.classes import Classes, classes
 from ..operators.molecules import Molecules, molecules
 from ..tables import stored, table
 from .structures import ORACLE, QUERIES, query
@@ -29,14 +30,15 @@ segment as (select e.t, e.s[e.k + 1:f.k] as body, case when e.k = 0 then '' else
 piece as (select t, leaf, body, l, r, least(l || ':' || body || ':' || r, r || ':' || reverse(body) || ':' || l) as form from segment)"""
 
 
-def rows_of_atoms(spark: SparkSession, sf_dir: str) -> Molecules:
-    """Orders as straight chains of atoms, a line each."""
+def rows_of_atoms(spark: SparkSession, sf_dir: str) -> tuple[Classes, Molecules]:
+    """Orders as straight chains of atoms, a line each: those of the same text, and the molecule of the first one."""
     order = Window.partitionBy("l_orderkey").orderBy(*_LINE_ORDER)
     part = F.col("l_partkey") % 8
     symbol = F.when(part == 5, "N").when(part == 6, "O").when(part == 7, "S").otherwise("C")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(order).alias("k"), symbol.alias("x"))
     texts = lines.groupBy(F.col("l_orderkey").alias("target_id")).agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("x"))
-    return molecules(texts.select("target_id", F.array_join("x.x", "").alias("smiles")))
+    same = classes(texts.select("target_id", F.array_join("x.x", "").alias("form")))
+    return same, molecules(same.firsts.select("target_id", F.col("form").alias("smiles")))
 
 
 @query("with " + _SEGMENTS + """,
@@ -44,12 +46,13 @@ held as (select form, count(distinct t) as targets from piece where leaf group b
 select t as target_id, count(distinct form) as n_pieces, count(distinct form) filter (leaf) as n_leaves, count(distinct form) filter (leaf and targets > 1) as n_common from piece left join held using (form) group by t""")
 def recursive_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many pieces an order can be cut into, how many of them cannot be cut further, and how many of these other orders have as well."""
-    graph = decomposition.cut_graph(rows_of_atoms(spark, sf_dir))
+    same, mols = rows_of_atoms(spark, sf_dir)
+    graph = decomposition.cut_graph(mols)
     leaves = stored(decomposition.reached(graph), "leaves")
-    common = leaves.groupBy("key").agg((F.count("*") > 1).alias("common"))
+    common = leaves.join(same.firsts.select("target_id", "n_same"), "target_id").groupBy("key").agg((F.sum("n_same") > 1).alias("common"))
     ends = leaves.join(common, "key").groupBy("target_id").agg(F.count("*").alias("n_leaves"), F.count_if("common").alias("n_common"))
     every = decomposition.reached(graph, keep_nodes=True).groupBy("target_id").agg(F.count("*").alias("n_pieces"))
-    return every.join(ends, "target_id").select("target_id", "n_pieces", "n_leaves", "n_common")
+    return same.of_all(stored(every.join(ends, "target_id").select("target_id", "n_pieces", "n_leaves", "n_common"), "pieces-of-first"))
 
 
 @query("with " + _SEGMENTS + """,
@@ -65,6 +68,7 @@ every_ as (select *, 0 as depth from form1 union all select *, 1 from form2)
 select t as target_id, depth as depth, complete, count(*) as n from every_ group by all""")
 def recombined_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an order's smallest pieces can be put together to in one or two joins: how many results are complete, and how many can go on."""
-    pieces = stored(decomposition.decompose(rows_of_atoms(spark, sf_dir)), "leaves")
+    same, mols = rows_of_atoms(spark, sf_dir)
+    pieces = stored(decomposition.decompose(mols), "leaves")
     made = decomposition.recombine(pieces, max_depth=1, only_complete=False)
-    return made.groupBy("target_id", "depth", "complete").agg(F.count("*").alias("n"))
+    return same.of_all(stored(made.groupBy("target_id", "depth", "complete").agg(F.count("*").alias("n")), "made-of-first"))

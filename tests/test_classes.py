@@ -48,6 +48,8 @@ CASES = [
     ("molecule_properties_read", structures, "molecules"),
     ("rule_cuts", structures, "molecules"),
     ("ring_bonds_of_graphs", structures, "ring_bonds"),
+    ("recursive_pieces", pieces, "molecules"),
+    ("recombined_pieces", pieces, "molecules"),
 ]
 
 
