@@ -50,6 +50,16 @@ CASES = [
     ("ring_bonds_of_graphs", structures, "ring_bonds"),
     ("recursive_pieces", pieces, "molecules"),
     ("recombined_pieces", pieces, "molecules"),
+    ("exact_cover", disassembly, "disassemble"),
+    ("running_solved_rate", disassembly, "disassemble"),
+    ("solution_browse", disassembly, "disassemble"),
+    ("solution_texts", disassembly, "disassemble"),
+    ("solutions_by_parts", disassembly, "disassemble"),
+    ("solutions_capped", disassembly, "disassemble"),
+    ("stage_tests", disassembly, "disassemble"),
+    ("solved_rate", disassembly, "disassemble"),
+    ("stage_counts", disassembly, "disassemble"),
+    ("stage_counts_wide", disassembly, "disassemble"),
 ]
 
 
