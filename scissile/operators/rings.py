@@ -15,28 +15,40 @@ from pyspark.sql import functions as F
 from ..tables import removed, stored
 
 
+def _distances(links: DataFrame) -> DataFrame:
+    """(target_id, atom, far): from the lowest atom of every connected part, in ``links`` (target_id, near, atom) that go both ways.
+
+    Atoms take the lowest atom that they have heard of, and the least distance from it; the lowest of
+    a part is given up nowhere, so that after k rounds all within k bonds of it have both. Only what is new to an atom is
+    told to its neighbours. Parts and distances are found in one loop.
+    """
+    start = F.struct(F.col("atom").alias("low"), F.lit(0).alias("far"))
+    now = stored(links.select("target_id", "atom").distinct().select("target_id", "atom", start.alias("x"), F.lit(True).alias("new")), "distances")
+    while not now.where("new").isEmpty():
+        told = now.where("new").select("target_id", F.col("atom").alias("near"), F.struct("x.low", (F.col("x.far") + 1).alias("far")).alias("x")).join(links, ["target_id", "near"])
+        own = now.select("target_id", "atom", "x", F.col("x").alias("was"))
+        both = own.unionAll(told.select("target_id", "atom", "x", F.lit(None).cast(own.schema["was"].dataType)))
+        least = both.groupBy("target_id", "atom").agg(F.min("x").alias("x"), F.max("was").alias("was"))
+        after = stored(least.select("target_id", "atom", "x", (F.col("x") != F.col("was")).alias("new")), "distances")
+        removed(now)
+        now = after
+    return now.select("target_id", "atom", F.col("x.far").alias("far"))
+
+
 def spanning_forest(bonds: DataFrame) -> DataFrame:
     """(target_id, atom, parent, bond_seq) for the atoms that are no root, from ``bonds`` (target_id, bond_seq, a1, a2).
 
     Breadth first, from the lowest atom of every connected part; all parts take a
     step a round. For tables that come from text, take the order of the text.
     """
-    from .assembly import fragments
-
     plain = stored(bonds.where("a1 <> a2").select("target_id", "bond_seq", "a1", "a2"), "plain-bonds")
-    both = plain.select("target_id", "bond_seq", F.col("a1").alias("parent"), F.col("a2").alias("atom")).unionAll(plain.select("target_id", "bond_seq", F.col("a2").alias("parent"), F.col("a1").alias("atom")))
-    atoms = both.select("target_id", "atom").distinct()
-    parts = fragments(atoms, plain.withColumn("cut", F.lit(False)))
-    now = stored(parts.groupBy("target_id", "frag_id").agg(F.min("atom").alias("atom")).select("target_id", "atom", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("bond_seq")), "roots")
-    seen = now
-    while True:
-        at = now.select("target_id", F.col("atom").alias("parent"))
-        found = both.join(at, ["target_id", "parent"]).join(seen.select("target_id", "atom"), ["target_id", "atom"], "left_anti")
-        first = found.groupBy("target_id", "atom").agg(F.min(F.struct("parent", "bond_seq")).alias("x"))
-        now = stored(first.select("target_id", "atom", F.col("x.parent").cast("long").alias("parent"), F.col("x.bond_seq").cast("long").alias("bond_seq")), "forest")
-        if now.isEmpty():
-            return seen.where("parent is not null")
-        seen = seen.unionAll(now)
+    way = lambda a, b: plain.select("target_id", "bond_seq", F.col(a).alias("near"), F.col(b).alias("atom"))
+    both = way("a1", "a2").unionAll(way("a2", "a1"))
+    links = stored(both.select("target_id", "near", "atom").distinct(), "links")
+    far = _distances(links)
+    ends = both.join(far, ["target_id", "atom"]).join(far.select("target_id", F.col("atom").alias("near"), F.col("far").alias("near_far")), ["target_id", "near"])
+    first = ends.where("far = near_far + 1").groupBy("target_id", "atom").agg(F.min(F.struct("near", "bond_seq")).alias("x"))
+    return first.select("target_id", "atom", F.col("x.near").cast("long").alias("parent"), F.col("x.bond_seq").cast("long").alias("bond_seq"))
 
 
 def ring_bonds(bonds: DataFrame, parents: DataFrame | None = None) -> DataFrame:

@@ -105,3 +105,25 @@ def test_texts_of_orders(spark):
         ends = {0, len(row) - 1} if len(row) >= 3 and t % 3 == 0 else set()
         want[t] = "".join(a + "1" * (k in ends) + b for k, (a, b) in enumerate(row)) + ("X" if t % 101 == 0 else "(" if t % 97 == 0 else "")
     assert got == want
+
+
+def test_forest_takes_one_loop(spark, monkeypatch):
+    """Parents are neighbours one step nearer to the lowest atom; a long row takes a round a bond, and parts are found in the same rounds."""
+    from scissile.operators import rings
+
+    rng = random.Random(8)
+    graphs = {0: [(k, k + 1) for k in range(15)], **{t: [(rng.randrange(9), rng.randrange(9)) for _ in range(rng.randint(1, 12))] for t in range(1, 12)}}
+    bonds = spark.createDataFrame([(t, k, a, b) for t, es in graphs.items() for k, (a, b) in enumerate(es)], "target_id long, bond_seq long, a1 long, a2 long")
+    steps, stored = [], tables.stored
+    for module in (rings, __import__("scissile.operators.assembly", fromlist=["stored"])):
+        monkeypatch.setattr(module, "stored", lambda df, name: steps.append(name) or stored(df, name))
+    got = {(r.target_id, r.atom): (r.parent, r.bond_seq) for r in rings.spanning_forest(bonds).collect()}
+    assert len(steps) < 22
+    for t, es in graphs.items():
+        atoms, far = {x for a, b in es for x in (a, b) if a != b}, {}
+        while rest := atoms - far.keys():
+            now, far[min(rest)] = [min(rest)], 0
+            while now:
+                now = [y for x in now for a, b in es for u, y in ((a, b), (b, a)) if u == x and y not in far and far.setdefault(y, far[x] + 1)]
+        want = {x: min((u, k) for k, (a, b) in enumerate(es) for u, y in ((a, b), (b, a)) if y == x and far[u] == far[x] - 1) for x in atoms if far[x]}
+        assert {x: v for (g, x), v in got.items() if g == t} == want
