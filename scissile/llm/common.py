@@ -8,8 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import removed, shared_path, table
-from ..tables import stored as written
+from ..tables import removed, shared_path, table, written
 
 __all__ = ["arrow_rows", "connected_components", "let", "removed", "shared_path", "table", "words", "written"]
 
